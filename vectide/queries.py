@@ -1,24 +1,576 @@
-"""Queries of the core by name, and their SQL for the comparison."""
+"""Queries of the core by name, and their SQL for the comparison.
+
+Distances are taken in double precision and rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .operators import orphans
-from .session import table as t
+from .config import VecConfig
+from .functions import native
+from .functions.parse import format_vec
+from .functions.register import register, scalar_udfs
+from .operators import hnsw, knn as K, metrics, orphans, text
+from .operators.components import components
+from .plans import planner
+from .session import shared_dir, table as t
+from .sources.table import VectorTable
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def rows_of(s: SparkSession, d: str) -> DataFrame:
+    """The embeddings as (rowid, vector, label)."""
+    return t(s, d, "embeddings").select(F.col("vec_id").alias("rowid"), F.col("embedding").alias("vector"), "label")
+
+
+def first_vector(s: SparkSession, d: str, rowid: int = 0) -> np.ndarray:
+    return np.array(rows_of(s, d).where(F.col("rowid") == rowid).select("vector").first()[0], np.float32)
+
+
+def constant(v: np.ndarray) -> Column:
+    return F.array(*[F.lit(float(x)).cast("float") for x in v])
 
-def _orphans(s: SparkSession, d: str) -> DataFrame:
-    return orphans.failing({n: t(s, d, n) for n in ("wiki_chunks", "wiki_articles", "v_graph", "v_data", "v_layers")})
 
+def scratch(s: SparkSession) -> str:
+    """A fresh folder under the shared one, as a local path or address."""
+    base = shared_dir(s).removeprefix("file:").replace("//", "/")
+    return tempfile.mkdtemp(prefix="vectide-", dir=base)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": _orphans,
-    "p3_counts": lambda s, d: orphans.counts(_orphans(s, d)),
+
+_E = "(SELECT vec_id AS rowid, embedding::DOUBLE[] AS v, label FROM embeddings)"
+_Q0 = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+_D = {
+    "l2": "list_distance({a}, {b})",
+    "cosine": "greatest(0, 1 - list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))))",
+    "ip": "-list_inner_product({a}, {b})",
+    "l1": "list_sum(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2])))",
 }
 
+
+def _sql_distance(m: str, a: str = "v", b: str = "q") -> str:
+    return _D[m].format(a=a, b=b)
+
+
+# Scans, points, columns
+
+
+@query("scan_all", f"SELECT rowid, list_transform(v, lambda x: round(x, 6)) AS vector, NULL::DOUBLE AS distance FROM {_E}")
+def scan_all(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(s, d).select("rowid", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"), F.lit(None).cast("double").alias("distance"))
+
+
+@query("point_lookup", f"SELECT rowid, label, len(v)::INTEGER AS dims FROM {_E} WHERE rowid = 7")
+def point_lookup(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(s, d).where("rowid = 7").select("rowid", "label", native.vec_dims(F.col("vector")).alias("dims"))
+
+
+# Distances of all rows to one query
+
+
+def _distance(m: str) -> None:
+    @query(f"dist_{m}", f"SELECT rowid, round({_sql_distance(m)}, 6) AS distance FROM {_E}, {_Q0}")
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return rows_of(s, d).select("rowid", F.round(native.DISTANCES[m](F.col("vector"), constant(first_vector(s, d))), 6).alias("distance"))
+
+    @query(f"knn_{m}", f"SELECT rowid, round({_sql_distance(m)}, 6) AS distance FROM {_E}, {_Q0} ORDER BY {_sql_distance(m)}, rowid LIMIT 10")
+    def near(s: SparkSession, d: str) -> DataFrame:
+        return K.knn(rows_of(s, d), first_vector(s, d), 10, m).select("rowid", F.round("distance", 6).alias("distance"))
+
+
+for _m in _D:
+    _distance(_m)
+
+_I8 = "list_transform(v, lambda x: (CASE WHEN least(greatest(x * 127, -128), 127) < 0 THEN ceil(least(greatest(x * 127, -128), 127) - 0.5::DOUBLE) ELSE floor(least(greatest(x * 127, -128), 127) + 0.5::DOUBLE) END)::DOUBLE)"
+_I8ROWS = f"(SELECT rowid, label, {_I8} AS v FROM (SELECT rowid, label, list_transform(v, lambda x: (x)::FLOAT::DOUBLE) AS v FROM {_E}) e)"
+
+
+def int8_rows(s: SparkSession, d: str) -> DataFrame:
+    """The embeddings times 127 in stored int8."""
+    return rows_of(s, d).withColumn("vector", native.store_int8(F.transform("vector", lambda x: (x.cast("double") * 127).cast("float"))))
+
+
+def _distance_i8(m: str) -> None:
+    @query(f"dist_{m}_i8", f"SELECT rowid, round({_sql_distance(m)}, 6) AS distance FROM {_I8ROWS} r, (SELECT v AS q FROM {_I8ROWS} x WHERE rowid = 0) y")
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = int8_rows(s, d)
+        q = rows.where("rowid = 0").select("vector").first()[0]
+        return rows.select("rowid", F.round(native.DISTANCES[m](F.col("vector"), F.array(*[F.lit(int(x)).cast("tinyint") for x in q])), 6).alias("distance"))
+
+
+for _m in _D:
+    _distance_i8(_m)
+
+
+def bit_rows(s: SparkSession, d: str) -> DataFrame:
+    """The signs of the embeddings, packed."""
+
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return pd.Series([np.packbits(np.asarray(x) > 0).tobytes() for x in v])
+
+    return rows_of(s, d).withColumn("vector", pack("vector"))
+
+
+_SIGNS = f"(SELECT rowid, list_transform(v, lambda x: (x > 0)::INTEGER) AS b FROM {_E})"
+_BITS = {
+    "hamming": "list_sum(list_transform(list_zip(b, q), lambda z: (z[1] <> z[2])::INTEGER))::DOUBLE",
+    "jaccard": "CASE WHEN list_sum(list_transform(list_zip(b, q), lambda z: greatest(z[1], z[2]))) = 0 THEN 1.0::DOUBLE ELSE round(1 - list_sum(list_transform(list_zip(b, q), lambda z: z[1] * z[2]))::DOUBLE / list_sum(list_transform(list_zip(b, q), lambda z: greatest(z[1], z[2]))), 6) END",
+}
+
+
+def _distance_bit(m: str) -> None:
+    @query(f"dist_{m}_bit", f"SELECT rowid, {_BITS[m]} AS distance FROM {_SIGNS} x, (SELECT b AS q FROM {_SIGNS} y WHERE rowid = 0) z")
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = bit_rows(s, d)
+        q = F.lit(bytearray(rows.where("rowid = 0").select("vector").first()[0]))
+        return rows.select("rowid", F.round(scalar_udfs()[f"vec_distance_{m}_bit"](F.col("vector"), q), 6).alias("distance"))
+
+    @query(f"dist_{m}_f32")
+    def raw(s: SparkSession, d: str) -> DataFrame:
+        return K.within(rows_of(s, d), first_vector(s, d), float("inf"), m).select("rowid", F.round("distance", 6).alias("distance"))
+
+    @query(f"knn_{m}_bit", f"SELECT rowid, {_BITS[m]} AS distance FROM {_SIGNS} x, (SELECT b AS q FROM {_SIGNS} y WHERE rowid = 0) z ORDER BY 2, 1 LIMIT 10")
+    def near(s: SparkSession, d: str) -> DataFrame:
+        rows = bit_rows(s, d)
+        q = bytes(rows.where("rowid = 0").select("vector").first()[0])
+        return K.knn(rows, q, 10, m).select("rowid", F.round("distance", 6).alias("distance"))
+
+
+for _m in _BITS:
+    _distance_bit(_m)
+
+
+# Scalar functions
+
+
+@query("vec_dims", f"SELECT rowid, len(v)::INTEGER AS dims FROM {_E}")
+def q_dims(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(s, d).select("rowid", native.vec_dims(F.col("vector")).alias("dims"))
+
+
+@query("vec_norm", f"SELECT rowid, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM {_E}")
+def q_norm(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(s, d).select("rowid", F.round(native.vec_norm(F.col("vector")), 6).alias("norm"))
+
+
+def _binary(name: str, f: Callable[[Column, Column], Column], op: str) -> None:
+    @query(name, f"SELECT vec_id AS rowid, list_transform(list_zip(embedding, q), lambda z: round((z[1] {op} z[2])::FLOAT::DOUBLE, 6)) AS vector FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)")
+    def run(s: SparkSession, d: str) -> DataFrame:
+        v = f(F.col("vector"), constant(first_vector(s, d)))
+        return rows_of(s, d).select("rowid", F.transform(v, lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+
+
+_binary("vec_add", native.vec_add, "+")
+_binary("vec_sub", native.vec_sub, "-")
+
+
+@query("vec_normalize", f"SELECT rowid, list_transform(y, lambda x: round((x / sqrt(list_inner_product(y, y)))::FLOAT::DOUBLE, 5)) AS vector FROM (SELECT rowid, list_transform(v, lambda x: (3 * x)::FLOAT::DOUBLE) AS y FROM {_E}) t")
+def q_normalize(s: SparkSession, d: str) -> DataFrame:
+    v = native.vec_normalize(native.stretch(F.col("vector"), 3.0))
+    return rows_of(s, d).select("rowid", F.transform(v, lambda x: F.round(x.cast("double"), 5)).alias("vector"))
+
+
+@query("vec_slice", f"SELECT rowid, list_transform(list_slice(v, 9, 16), lambda x: round(x, 6)) AS vector FROM {_E}")
+def q_slice(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(s, d).select("rowid", F.transform(native.vec_slice(F.col("vector"), 8, 16), lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+
+
+def _text_of(vector: str) -> Column:
+    @F.pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series([format_vec(x) for x in v])
+
+    return run(vector)
+
+
+@query("vec_text_roundtrip", "SELECT vec_id AS rowid, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.7g', x::DOUBLE)), ',') || ']' AS txt FROM embeddings")
+def q_text(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(s, d).select("rowid", scalar_udfs()["vec"](_text_of("vector")).alias("txt"))
+
+
+@query("vec_int8", "SELECT vec_id AS rowid, list_transform(embedding, lambda x: trunc(least(greatest((x::DOUBLE * 200)::FLOAT, -128), 127))::TINYINT) AS v8 FROM embeddings")
+def q_int8(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(s, d).select("rowid", native.vec_int8(native.stretch(F.col("vector"), 200.0)).alias("v8"))
+
+
+@query("vec_store_int8", f"SELECT rowid, list_transform(v, lambda x: x::TINYINT) AS v8 FROM {_I8ROWS} r")
+def q_store_int8(s: SparkSession, d: str) -> DataFrame:
+    return int8_rows(s, d).select("rowid", F.col("vector").alias("v8"))
+
+
+@query("vec_type", "SELECT vec_id AS rowid, 'float32' AS f, 'int8' AS i, 'bit' AS b, 'text' AS s FROM embeddings")
+def q_type(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(s, d).select("rowid", *[native.vec_type(k).alias(n) for n, k in (("f", dict(rows_of(s, d).dtypes)["vector"]), ("i", dict(int8_rows(s, d).dtypes)["vector"]), ("b", dict(bit_rows(s, d).dtypes)["vector"]), ("s", "string"))])
+
+
+_TEXTS = "(SELECT vec_id AS rowid, list_transform(embedding, lambda x: printf('%.7g', x::DOUBLE)::FLOAT::DOUBLE) AS v FROM embeddings)"
+
+
+@query("sql_functions", f"SELECT rowid, round({_sql_distance('l2')}, 5) AS l2, len(v)::INTEGER AS dims FROM {_TEXTS} a, (SELECT v AS q FROM {_TEXTS} b WHERE rowid = 0) c")
+def q_sql(s: SparkSession, d: str) -> DataFrame:
+    register(s)
+    rows_of(s, d).select("rowid", _text_of("vector").alias("txt")).createOrReplaceTempView("vectide_texts")
+    q = format_vec(first_vector(s, d))
+    return s.sql(f"SELECT rowid, round(vec_distance_l2(txt, '{q}'), 5) AS l2, vec_dims(txt) AS dims FROM vectide_texts")
+
+
+# Nearest neighbours with conditions
+
+
+def _threshold(name: str, where: str, **bounds: object) -> None:
+    @query(name, f"SELECT rowid, round(x, 6) AS distance FROM (SELECT rowid, {_sql_distance('l2')} AS x FROM {_E}, {_Q0} ORDER BY 2, 1 LIMIT 50) k WHERE {where}")
+    def run(s: SparkSession, d: str) -> DataFrame:
+        near = K.threshold(K.knn(rows_of(s, d), first_vector(s, d), 50, "l2"), **bounds)
+        return near.select("rowid", F.round("distance", 6).alias("distance"))
+
+
+_threshold("knn_threshold_lt", "x < 1.2", below=1.2, closed="none")
+_threshold("knn_threshold_le", "x <= 1.2", below=1.2)
+_threshold("knn_threshold_gt", "x > 1.0", above=1.0, closed="none")
+_threshold("knn_threshold_ge", "x >= 1.0", above=1.0)
+_threshold("knn_threshold_band", "x >= 0.5 AND x <= 1.2", above=0.5, below=1.2)
+
+
+@query("range_search", f"SELECT rowid, round({_sql_distance('l2')}, 6) AS distance FROM {_E}, {_Q0} WHERE {_sql_distance('l2')} <= 1.3")
+def q_range(s: SparkSession, d: str) -> DataFrame:
+    return K.within(rows_of(s, d), first_vector(s, d), 1.3, "l2").select("rowid", F.round("distance", 6).alias("distance"))
+
+
+_NEAR = f"(SELECT rowid, label, {_sql_distance('cosine')} AS x FROM {_E}, {_Q0} ORDER BY x, rowid LIMIT 20)"
+
+
+@query("knn_prefilter_label", f"SELECT rowid, round({_sql_distance('cosine')}, 6) AS distance FROM {_E}, {_Q0} WHERE label = 3 ORDER BY {_sql_distance('cosine')}, rowid LIMIT 10")
+def q_prefilter(s: SparkSession, d: str) -> DataFrame:
+    return K.knn(rows_of(s, d), first_vector(s, d), 10, "cosine", prefilter=F.col("label") == 3).select("rowid", F.round("distance", 6).alias("distance"))
+
+
+@query("knn_postfilter_label", f"SELECT rowid, round(x, 6) AS distance, label FROM {_NEAR} n WHERE label IN (1, 3, 5)")
+def q_postfilter(s: SparkSession, d: str) -> DataFrame:
+    near = K.knn(rows_of(s, d), first_vector(s, d), 20, "cosine", keep=["label"])
+    return near.where(F.col("label").isin(1, 3, 5)).select("rowid", F.round("distance", 6).alias("distance"), "label")
+
+
+@query("knn_rowid_join", f"SELECT n.rowid, p_name, round(x, 6) AS distance FROM {_NEAR} n JOIN part ON p_partkey = n.rowid")
+def q_join(s: SparkSession, d: str) -> DataFrame:
+    near = K.knn(rows_of(s, d), first_vector(s, d), 20)
+    return t(s, d, "part").join(F.broadcast(near), F.col("p_partkey") == F.col("rowid")).select("rowid", "p_name", F.round("distance", 6).alias("distance"))
+
+
+def wiki_rows(s: SparkSession, d: str) -> DataFrame:
+    """Whole 64-element vectors of the chunks, once an id."""
+    v = t(s, d, "wiki_vec").where("vector is not null and size(vector) = 64")
+    return v.where(F.exists("vector", lambda x: x != 0)).dropDuplicates(["rowid"]).select("rowid", "vector")
+
+
+_WIKI = "(SELECT rowid, any_value(vector)::DOUBLE[] AS v FROM (SELECT \"rowid\" AS rowid, vector FROM wiki_vec) w WHERE len(vector) = 64 AND len(list_filter(vector, lambda e: e <> 0)) > 0 GROUP BY rowid)"
+_CHUNK = "(SELECT id, any_value(article_id) AS article_id, any_value(chunk_index) AS chunk_index, any_value(content) AS content FROM wiki_chunks GROUP BY id)"
+_ARTICLE = "(SELECT id, any_value(title) AS title FROM wiki_articles GROUP BY id)"
+
+
+@query(
+    "knn_join3",
+    f"""WITH w AS {_WIKI}, q AS (SELECT v AS q FROM w WHERE rowid = (SELECT min(rowid) FROM w)),
+n AS (SELECT rowid, {_sql_distance('cosine')} AS x FROM w, q ORDER BY x, rowid LIMIT 20)
+SELECT n.rowid, c.chunk_index, a.title, round(x, 6) AS distance, round(1 - x, 6) AS similarity FROM n JOIN {_CHUNK} c ON c.id = n.rowid JOIN {_ARTICLE} a ON a.id = c.article_id""",
+)
+def q_join3(s: SparkSession, d: str) -> DataFrame:
+    rows = wiki_rows(s, d)
+    q = rows.agg(F.min_by("vector", "rowid")).first()[0]
+    near = K.knn(rows, q, 20, "cosine")
+    chunks, articles = t(s, d, "wiki_chunks").dropDuplicates(["id"]), t(s, d, "wiki_articles").dropDuplicates(["id"])
+    return text.ranked(near, chunks, articles).select("rowid", "chunk_index", "title", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "ranked_preview",
+    f"""WITH w AS {_WIKI}, q AS (SELECT v AS q FROM w WHERE rowid = (SELECT min(rowid) FROM w)),
+n AS (SELECT rowid, {_sql_distance('cosine')} AS x FROM w, q ORDER BY x, rowid LIMIT 10),
+r AS (SELECT n.rowid, x, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS line FROM n JOIN {_CHUNK} c ON c.id = n.rowid JOIN {_ARTICLE} a ON a.id = c.article_id)
+SELECT row_number() OVER (ORDER BY x, rowid)::INTEGER AS rank, rowid, CASE WHEN length(line) <= 60 THEN line ELSE rtrim(substring(line, 1, 57)) || '...' END AS preview FROM r""",
+)
+def q_ranked(s: SparkSession, d: str) -> DataFrame:
+    rows = wiki_rows(s, d)
+    near = K.knn(rows, rows.agg(F.min_by("vector", "rowid")).first()[0], 10, "cosine")
+    return text.ranked(near, t(s, d, "wiki_chunks").dropDuplicates(["id"]), t(s, d, "wiki_articles").dropDuplicates(["id"]), 60).select("rank", "rowid", "preview")
+
+
+@query("knn_semi", f"SELECT rowid, label FROM {_E} WHERE rowid IN (SELECT rowid FROM {_NEAR} n)")
+def q_semi(s: SparkSession, d: str) -> DataFrame:
+    near = K.knn(rows_of(s, d), first_vector(s, d), 20)
+    return rows_of(s, d).join(F.broadcast(near), "rowid", "left_semi").select("rowid", "label")
+
+
+@query("knn_anti", f"SELECT rowid, label FROM {_E} WHERE rowid NOT IN (SELECT rowid FROM {_NEAR} n)")
+def q_anti(s: SparkSession, d: str) -> DataFrame:
+    near = K.knn(rows_of(s, d), first_vector(s, d), 20)
+    return rows_of(s, d).join(F.broadcast(near), "rowid", "left_anti").select("rowid", "label")
+
+
+@query("knn_offset", f"SELECT rowid, round(x, 6) AS distance FROM {_NEAR} n ORDER BY x DESC, rowid LIMIT 5 OFFSET 3")
+def q_offset(s: SparkSession, d: str) -> DataFrame:
+    near = K.knn(rows_of(s, d), first_vector(s, d), 20)
+    return near.orderBy(F.desc("distance"), "rowid").offset(3).limit(5).select("rowid", F.round("distance", 6).alias("distance"))
+
+
+@query("knn_count", f"SELECT count(*) AS n, round(min(x), 6) AS nearest, round(max(x), 6) AS farthest, count(DISTINCT label) AS labels FROM {_NEAR} n")
+def q_count(s: SparkSession, d: str) -> DataFrame:
+    near = K.knn(rows_of(s, d), first_vector(s, d), 20, keep=["label"])
+    return near.agg(F.count("*").alias("n"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.max("distance"), 6).alias("farthest"), F.count_distinct("label").alias("labels"))
+
+
+@query("scalar_subquery", f"SELECT rowid, round(x - (SELECT avg(x) FROM {_NEAR} m), 6) AS above FROM {_NEAR} n WHERE x >= (SELECT avg(x) FROM {_NEAR} m)")
+def q_scalar(s: SparkSession, d: str) -> DataFrame:
+    K.knn(rows_of(s, d), first_vector(s, d), 20).createOrReplaceTempView("vectide_near")
+    return s.sql("SELECT rowid, round(distance - (SELECT avg(distance) FROM vectide_near), 6) AS above FROM vectide_near WHERE distance >= (SELECT avg(distance) FROM vectide_near)")
+
+
+_PAIRS = f"(SELECT b.rowid AS qid, a.rowid, {_sql_distance('cosine', 'a.v', 'b.v')} AS x FROM {_E} a, {_E} b WHERE b.rowid % 20 = 0)"
+
+
+@query("batch_knn", f"SELECT qid, rowid, round(x, 6) AS distance, k::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(x, 9), rowid) AS k FROM {_PAIRS} p) r WHERE k <= 10")
+def q_batch(s: SparkSession, d: str) -> DataFrame:
+    rows = rows_of(s, d)
+    asked = rows.where("rowid % 20 = 0").select(F.col("rowid").alias("qid"), "vector")
+    return K.batch_knn(rows, asked, 10, "cosine").select("qid", "rowid", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("similarity_join", f"SELECT qid, rowid, round(x, 6) AS distance FROM {_PAIRS} p WHERE x <= 0.6")
+def q_simjoin(s: SparkSession, d: str) -> DataFrame:
+    rows = rows_of(s, d)
+    asked = rows.where("rowid % 20 = 0").select(F.col("rowid").alias("qid"), "vector")
+    return K.similarity_join(rows, asked, 0.6, "cosine").select("qid", "rowid", F.round("distance", 6).alias("distance"))
+
+
+# Aggregates over vectors and graphs
+
+
+@query("label_stats", f"SELECT label, count(*) AS n, round(min(x), 6) AS nearest, round(max(x), 6) AS farthest, round(avg(x), 6) AS mean FROM (SELECT label, {_sql_distance('l2')} AS x FROM {_E}, {_Q0}) y GROUP BY label")
+def q_labels(s: SparkSession, d: str) -> DataFrame:
+    rows = rows_of(s, d).withColumn("x", native.distance_l2(F.col("vector"), constant(first_vector(s, d))))
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.round(F.min("x"), 6).alias("nearest"), F.round(F.max("x"), 6).alias("farthest"), F.round(F.avg("x"), 6).alias("mean"))
+
+
+@query("label_centroids", f"SELECT label, pos::INTEGER AS pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM {_E}) y GROUP BY label, pos")
+def q_centroids(s: SparkSession, d: str) -> DataFrame:
+    return rows_of(s, d).select("label", F.posexplode("vector").alias("pos", "x")).groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+_GRAPH = "(SELECT DISTINCT layer, node_id, neighbor_id, distance FROM v_graph)"
+
+
+@query("degree_stats", f"SELECT layer, count(*) AS nodes, max(n) AS max_degree, round(avg(n), 6) AS avg_degree FROM (SELECT layer, node_id, count(*) AS n FROM {_GRAPH} g GROUP BY layer, node_id) d GROUP BY layer")
+def q_degrees(s: SparkSession, d: str) -> DataFrame:
+    g = t(s, d, "v_graph").select("layer", "node_id", "neighbor_id", "distance").distinct()
+    return metrics.degrees(g).withColumn("avg_degree", F.round("avg_degree", 6))
+
+
+@query(
+    "graph_integrity",
+    f"""SELECT (SELECT count(*) FROM (SELECT node_id AS id FROM {_GRAPH} g UNION ALL SELECT neighbor_id FROM {_GRAPH} g) e WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM v_data)) AS orphan_ends,
+(SELECT count(*) FROM {_GRAPH} g WHERE node_id = neighbor_id) AS self_edges, (SELECT count(*) FROM {_GRAPH} g WHERE distance < 0) AS negative,
+(SELECT count(*) FROM (SELECT layer, node_id, count(*) AS n FROM {_GRAPH} g GROUP BY 1, 2) x WHERE n > CASE WHEN layer = 0 THEN 32 ELSE 16 END) AS over_degree,
+(SELECT count(*) FROM (SELECT DISTINCT id FROM v_data) x WHERE id NOT IN (SELECT node_id FROM v_layers)) AS without_layer""",
+)
+def q_integrity(s: SparkSession, d: str) -> DataFrame:
+    g = t(s, d, "v_graph").select("layer", "node_id", "neighbor_id", "distance").distinct()
+    return metrics.integrity(t(s, d, "v_data").select("id").distinct(), g, t(s, d, "v_layers"), 16, "id")
+
+
+@query("entry_point", "SELECT node_id AS entry_point, max_layer FROM v_layers ORDER BY max_layer DESC, node_id LIMIT 1")
+def q_entry(s: SparkSession, d: str) -> DataFrame:
+    return metrics.entry_point(t(s, d, "v_layers"))
+
+
+@query(
+    "graph_components",
+    """WITH RECURSIVE e AS (SELECT DISTINCT node_id AS a, neighbor_id AS b FROM v_graph WHERE layer > 0 AND node_id IS NOT NULL AND neighbor_id IS NOT NULL AND node_id <> neighbor_id),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, w.root FROM w JOIN u ON u.a = w.node)
+SELECT node, min(root) AS root FROM w GROUP BY node""",
+)
+def q_components(s: SparkSession, d: str) -> DataFrame:
+    return components(t(s, d, "v_graph").where("layer > 0"), "node_id", "neighbor_id")
+
+
+@query(
+    "recall_exact_vs_int8",
+    f"""WITH p8 AS (SELECT b.rowid AS qid, a.rowid, {_sql_distance('l2', 'a.v', 'b.v')} AS x FROM {_I8ROWS} a, {_I8ROWS} b WHERE b.rowid % 20 = 0),
+p AS (SELECT b.rowid AS qid, a.rowid, {_sql_distance('l2', 'a.v', 'b.v')} AS x FROM {_E} a, {_E} b WHERE b.rowid % 20 = 0),
+n8 AS (SELECT qid, rowid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(x, 6), rowid) AS k FROM p8) y WHERE k <= 10),
+n AS (SELECT qid, rowid FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(x, 6), rowid) AS k FROM p) y WHERE k <= 10),
+r AS (SELECT n.qid, count(n8.rowid) / 10.0::DOUBLE AS r FROM n LEFT JOIN n8 ON n.qid = n8.qid AND n.rowid = n8.rowid GROUP BY 1)
+SELECT round(avg(r), 6) AS recall_mean, min(r) AS recall_min, max(r) AS recall_max FROM r""",
+)
+def q_recall(s: SparkSession, d: str) -> DataFrame:
+    rows, small = rows_of(s, d), int8_rows(s, d)
+    ask = lambda x: x.where("rowid % 20 = 0").select(F.col("rowid").alias("qid"), "vector")
+    exact, coded = K.batch_knn(rows, ask(rows), 10, "l2"), K.batch_knn(small, ask(small), 10, "l2")
+    return metrics.recall(coded, exact, 10).withColumn("recall_mean", F.round("recall_mean", 6))
+
+
+@query("latency_percentiles", "SELECT round(min(value), 6) AS min_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, round(max(value), 6) AS max_ms FROM events")
+def q_latency(s: SparkSession, d: str) -> DataFrame:
+    out = metrics.latency(t(s, d, "events"), "value")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+# The text pipeline
+
+
+@query("chunk_documents")
+def q_chunks(s: SparkSession, d: str) -> DataFrame:
+    return text.chunk(t(s, d, "documents"))
+
+
+def _strip_sql() -> str:
+    out = "regexp_replace(content, '(?s)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>|<ref\\b[^>]*>.*?</ref>|<gallery\\b[^>]*>.*?</gallery>', '', 'g')"
+    for pattern, to in text.STRIP:
+        p = pattern.replace("'", "''")
+        out = f"regexp_replace({out}, '{p}', '{to.replace('$', chr(92))}', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({out}, '<[^>]+>', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("strip_markup", f"SELECT DISTINCT id, length({_strip_sql()}) AS n_chars FROM wiki_chunks WHERE content IS NOT NULL")
+def q_strip(s: SparkSession, d: str) -> DataFrame:
+    rows = t(s, d, "wiki_chunks").where("content is not null")
+    return rows.select("id", F.length(text.strip_markup(F.col("content"))).cast("long").alias("n_chars")).distinct()
+
+
+@query("embed_chunks")
+def q_embed(s: SparkSession, d: str) -> DataFrame:
+    rows = t(s, d, "wiki_chunks").where("content is not null").select("id", "content").dropDuplicates(["id"])
+    return text.embed(rows, text.hashed_embedding(64), 64).select("id", native.vec_dims(F.col("vector")).alias("dims"))
+
+
+@query(
+    "upsert_documents",
+    "SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, coalesce(lang, 'und') AS lang, 'recrawl' AS source FROM documents WHERE doc_id % 3 = 0",
+)
+def q_upsert(s: SparkSession, d: str) -> DataFrame:
+    docs = t(s, d, "documents").select("doc_id", "lang", "source")
+    changes = docs.where("doc_id % 3 = 0").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.lit("recrawl").alias("source"))
+    return text.upsert(docs, changes, "doc_id")
+
+
+@query("insert_ignore", "SELECT article_id, chunk_index, min(id) AS id FROM (SELECT DISTINCT article_id, chunk_index, id FROM wiki_chunks WHERE article_id IS NOT NULL) x GROUP BY 1, 2")
+def q_ignore(s: SparkSession, d: str) -> DataFrame:
+    rows = t(s, d, "wiki_chunks").where("article_id is not null").groupBy("article_id", "chunk_index").agg(F.min("id").alias("id"))
+    return text.insert_ignore(rows.where("id % 2 = 0"), rows, ["article_id", "chunk_index"])
+
+
+@query("resume_pages", "SELECT DISTINCT id FROM wiki_articles WHERE id > 100")
+def q_resume(s: SparkSession, d: str) -> DataFrame:
+    state = s.createDataFrame([("last_page_id", "100")], "key string, value string")
+    return text.resume(t(s, d, "wiki_articles").select("id").distinct(), state, "id")
+
+
+@query("lcg_vectors", "SELECT i AS rowid, list_transform(range(0, 8), lambda d: round(((((i * 1103515245::HUGEINT) + d * 12345 + 42 * 2654435761::HUGEINT) % 2147483647)::DOUBLE / 2147483647 * 2 - 1)::FLOAT::DOUBLE, 6)) AS vector FROM range(1, 1001) r(i)")
+def q_lcg(s: SparkSession, d: str) -> DataFrame:
+    return text.lcg_vectors(s, 1000, 8, 42).select("rowid", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+
+
+# Tables, index, plans, streams
+
+
+@query("crud_snapshot", "SELECT vec_id AS rowid, round((embedding[1] + (CASE WHEN vec_id % 10 = 3 THEN 1 ELSE 0 END)::FLOAT)::DOUBLE, 5) AS head FROM embeddings WHERE vec_id % 7 <> 0")
+def q_crud(s: SparkSession, d: str) -> DataFrame:
+    where = f"{scratch(s)}/t"
+    table = VectorTable.create(s, where, config=VecConfig(64, "l2"))
+    rows = rows_of(s, d).select("rowid", "vector")
+    table.insert(rows)
+    table.begin()
+    table.delete(where=F.col("rowid") >= 0)
+    table.rollback()
+    table.begin()
+    table.update(rows.where("rowid % 10 = 3").withColumn("vector", F.transform("vector", lambda x: x + F.lit(1.0).cast("float"))))
+    table.delete(rows.where("rowid % 7 = 0"))
+    table.commit()
+    return VectorTable.load(s, where).scan().select("rowid", F.round(F.col("vector")[0].cast("double"), 5).alias("head"))
+
+
+@query("planner_paths", "SELECT * FROM (VALUES ('scan'), ('point rowid=7'), ('exact metric=l2 k=5 ef_search=10'), ('exact metric=cosine k=10 ef_search=10 then below=0.5')) v(plan)")
+def q_plans(s: SparkSession, d: str) -> DataFrame:
+    table = VectorTable.create(s, f"{scratch(s)}/t", config=VecConfig(64, "l2"))
+    table.insert(rows_of(s, d).select("rowid", "vector"))
+    q = first_vector(s, d)
+    asked = [planner.Request(), planner.Request(rowid=7), planner.Request(query=q, matched=True, k=5), planner.Request(query=q, matched=True, metric="cosine", below=0.5)]
+    return s.createDataFrame([(planner.explain(table, r),) for r in asked], "plan string")
+
+
+@query("sql_search", f"SELECT rowid, round({_sql_distance('l2')}, 6) AS distance FROM {_E}, {_Q0} ORDER BY {_sql_distance('l2')}, rowid LIMIT 10")
+def q_search(s: SparkSession, d: str) -> DataFrame:
+    table = VectorTable.create(s, f"{scratch(s)}/t", config=VecConfig(64, "l2"))
+    table.insert(rows_of(s, d).select("rowid", "vector"))
+    planner.register_search(s, "demo", table)
+    q = ", ".join(f"float({float(x)!r})" for x in first_vector(s, d))
+    return s.sql(f"SELECT rowid, round(distance, 6) AS distance FROM vec_search_demo(array({q}), 10)")
+
+
+@query("ann_hnsw_topk")
+def q_hnsw(s: SparkSession, d: str) -> DataFrame:
+    rows = rows_of(s, d)
+    config = VecConfig(64, "l2", m=16, ef_construction=100, ef_search=64)
+    shards = hnsw.shard_count(rows.count())
+    built = hnsw.build(rows, config, shards)
+    asked = [(int(r["rowid"]), r["vector"]) for r in rows.where("rowid % 20 = 0").limit(K.BLOCK).toLocalIterator()]
+    return hnsw.search(rows, built, asked, 10, config, shards).select("qid", "rowid", F.round("distance", 6).alias("distance"))
+
+
+@query("ann_lsh_topk")
+def q_lsh(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    rows = rows_of(s, d).select("rowid", array_to_vector("vector").alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=8, seed=42).fit(rows)
+    near = model.approxNearestNeighbors(rows, Vectors.dense(first_vector(s, d).astype(float)), 10)
+    return near.select("rowid", F.round("distCol", 6).alias("distance"))
+
+
+@query("stream_insert", "SELECT count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings")
+def q_stream(s: SparkSession, d: str) -> DataFrame:
+    from .streaming.ingest import insert_stream
+
+    base = scratch(s)
+    rows_of(s, d).select("rowid", "vector").write.parquet(f"{base}/in")
+    table = VectorTable.create(s, f"{base}/t", config=VecConfig(64, "l2"))
+    insert_stream(s.readStream.schema("rowid long, vector array<float>").parquet(f"{base}/in"), table, f"{base}/c").awaitTermination()
+    return VectorTable.load(s, f"{base}/t").scan().agg(F.count("*").alias("n"), F.min("rowid").alias("first_id"), F.max("rowid").alias("last_id"))
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def q_windows(s: SparkSession, d: str) -> DataFrame:
+    from .streaming.ingest import windowed_counts
+
+    return windowed_counts(t(s, d, "events"), "ts", ["event_type"])
+
+
+# References that fail
+
+
+def _orphans(s: SparkSession, d: str) -> DataFrame:
+    return orphans.failing({n: t(s, d, n) for n in ("wiki_chunks", "wiki_articles", "v_graph", "v_data", "v_layers")})
+
+
 _FOUND = """
 WITH refs AS (
   SELECT 'wiki_chunks' AS ref_table, 'article_id' AS ref_field, strftime(written_at, '%Y-%m') AS ref_month, article_id AS ref_key, loaded_at, 'wiki_articles' AS parent FROM wiki_chunks
@@ -35,7 +587,12 @@ states AS (
   FROM refs r LEFT JOIN parents p ON r.parent = p.parent AND r.ref_key = p.k WHERE ref_key IS NOT NULL)
 SELECT DISTINCT ref_table, ref_field, ref_month, ref_key, ref_state FROM states WHERE ref_state IS NOT NULL"""
 
-SQL: dict[str, str] = {
-    "p3_found": _FOUND,
-    "p3_counts": f"SELECT ref_table, ref_field, ref_month, ref_state, count(*) AS n_keys FROM ({_FOUND}) f GROUP BY ALL",
-}
+
+@query("p3_found", _FOUND)
+def p3_found(s: SparkSession, d: str) -> DataFrame:
+    return _orphans(s, d)
+
+
+@query("p3_counts", f"SELECT ref_table, ref_field, ref_month, ref_state, count(*) AS n_keys FROM ({_FOUND}) f GROUP BY ALL")
+def p3_counts(s: SparkSession, d: str) -> DataFrame:
+    return orphans.counts(_orphans(s, d))
