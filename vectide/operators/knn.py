@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import check_k, metric_name
@@ -30,7 +31,7 @@ def vectors_of(batch: pa.RecordBatch, dims: int, column: int = 1) -> tuple[np.nd
     """Ids and the (n, dims) block of a batch's rows with vectors; another size is an error."""
     col = batch.column(column)
     if col.null_count:
-        batch = batch.filter(pa.compute.is_valid(col))
+        batch = batch.filter(pc.is_valid(col))
         col = batch.column(column)
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type):
