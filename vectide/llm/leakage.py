@@ -1,8 +1,8 @@
 """Evaluation texts inside training text (problem 9), by pigeonhole edit matching.
 
 A passage of ``WINDOW`` words that occurs with at most ``budget`` wrong words contains, when
-the item is cut into pieces of ``WINDOW // (budget + 2)``... words laid end to end, at least one
-piece without error; see ``piece_words``. Exact piece hits are found by one Aho-Corasick pass
+the item is cut into pieces laid end to end, at least one piece without error; see
+``piece_words``. Exact piece hits are found by one Aho-Corasick pass
 over each document's normalised words, then verified with Myers' bit-parallel distance over
 the words around the hit.
 
@@ -44,28 +44,49 @@ def piece_words(window: int, budget: int) -> int:
     return size
 
 
-def piece_table(items: Iterable[tuple[int, str]], size: int, window: int = WINDOW) -> dict[str, list[tuple[int, int]]]:
-    """Piece text to the (item, word offset) at which it stands."""
-    out: dict[str, list[tuple[int, int]]] = defaultdict(list)
+def piece_table(items: Iterable[tuple[int, str]], size: int, window: int = WINDOW) -> dict[str, list[tuple[int, int, str, str]]]:
+    """Piece text to the (item, word offset, word before, word behind) at which it stands."""
+    out: dict[str, list[tuple[int, int, str, str]]] = defaultdict(list)
     for item, text in items:
         w = words(text)
         if len(w) >= window:
             for at in range(0, len(w) - size + 1, size):
-                out[" " + " ".join(w[at : at + size]) + " "].append((item, at))
+                out[" " + " ".join(w[at : at + size]) + " "].append((item, at, w[at - 1] if at else "", w[at + size] if at + size < len(w) else ""))
     return dict(out)
 
 
-def run_length(a: list[str], i: int, b: list[str], j: int) -> tuple[int, int]:
-    """The verbatim run around a[i] == b[j]: how far it reaches back, and its length."""
-    back = 0
-    while back < i and back < j and a[i - back - 1] == b[j - back - 1]:
+def run_around(a: list[str], i: int, b: list[str], j: int, size: int) -> tuple[int, int]:
+    """The verbatim run that holds the piece of ``size`` words at a[i] and b[j]: how far it reaches back, and its length."""
+    back, most = 0, min(i, j)
+    while back < most and a[i - back - 1] == b[j - back - 1]:
         back += 1
-    n, most = 0, min(len(a) - i, len(b) - j)
+    n, most = size, min(len(a) - i, len(b) - j)
     while n < most and a[i + n] == b[j + n]:
         n += 1
     return back, back + n
 
 
+def promising(a: list[str], i: int, b: list[str], j: int, back: int, n: int, window: int, budget: int) -> bool:
+    """Whether a window within the budget may hold this run: always for budgets above 1, else by the words past one error at either end.
+
+    With one error the window's other right words follow at once, shifted by a wrong, an
+    extra or a missing word.
+    """
+    if n >= window or budget > 1:
+        return True
+    if not budget:
+        return False
+    most = window - 1 - n
+    for x, y, step in ((i - back + n, j - back + n, 1), (i - back - 1, j - back - 1, -1)):
+        for dx, dy in ((1, 1), (1, 0), (0, 1)):
+            p, q, k = x + dx * step, y + dy * step, 0
+            while k < most and 0 <= p < len(a) and 0 <= q < len(b) and a[p] == b[q]:
+                p, q, k = p + step, q + step, k + 1
+            if k == most:
+                return True
+    return False
+
+
 def myers(pattern: list[str], text: list[str]) -> int:
     """Least edit distance between the pattern and any stretch of the text, bit-parallel over the pattern's words."""
     m = len(pattern)
@@ -91,23 +112,22 @@ def myers(pattern: list[str], text: list[str]) -> int:
     return best
 
 
-def verify(doc: list[str], item: list[str], hits: list[tuple[int, int]], window: int, budget: int) -> tuple[int, int]:
-    """(longest verbatim run, least window distance) over the hits, each a (document word, item word) pair.
+def verify(doc: list[str], item: list[str], runs: list[tuple[int, int, int, int]], window: int, budget: int) -> tuple[int, int]:
+    """(longest verbatim run, least window distance) over promising runs (document word, item word, reach back, length).
 
-    A window with a verbatim run of its full length has distance 0 and needs no further
-    pass; else every window of the item that holds the piece is measured against the
-    document words around it.
+    A run of a window's length is distance 0. Else the windows of the item that hold the run
+    are measured against the document words around it, by Myers' distance.
     """
-    best, distance, done = 0, window, -1
-    for i, j in sorted(hits):
-        if i < done:
-            continue
-        back, n = run_length(doc, i, item, j)
+    best, distance = 0, window
+    for i, j, back, n in runs:
         best = max(best, n)
         if n >= window:
-            distance, done = 0, i - back + n
-        elif distance > 0 and budget:
-            for s in {max(0, min(j - k, len(item) - window)) for k in range(0, window, max(1, window // 4))}:
+            distance = 0
+        elif distance > 1:
+            start, end = j - back, j - back + n
+            # Just outside the run stands an error on either side, so with a budget of 1 a window goes past one end only.
+            first, last = max(0, end - window), min(start, len(item) - window)
+            for s in range(first, last + 1) if budget > 1 else {first, last} if first <= last else ():
                 lo = max(0, i - (j - s) - budget)
                 distance = min(distance, myers(item[s : s + window], doc[lo : lo + window + 2 * budget]))
     return best, distance
@@ -142,15 +162,19 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, budget:
                     break
                 w = words(text)
                 joined = " " + " ".join(w) + " "
-                found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
                 seen, at = 0, 0  # word index of a hit, by counting separators from the last hit on
                 for end, (_, piece) in auto.iter(joined):
                     start = end - len(piece) + 1
                     at, seen = (at + joined.count(" ", seen, start), start) if start >= seen else (joined.count(" ", 0, start), start)
-                    for item, offset in table[piece]:
-                        found[item].append((at, offset))
-                for item, hits in found.items():
-                    run, edits = verify(w, item_words[item], hits, window, budget)
+                    before, behind = w[at - 1] if at else None, w[at + size] if at + size < len(w) else None
+                    for item, offset, left, right in table[piece]:
+                        other = item_words[item]
+                        back, n = run_around(w, at, other, offset, size) if left == before or right == behind else (0, size)
+                        if promising(w, at, other, offset, back, n, window, budget):
+                            found[item].append((at, offset, back, n))
+                for item, runs in found.items():
+                    run, edits = verify(w, item_words[item], runs, window, budget)
                     if edits <= budget:
                         out.append((doc_id, item, run, edits))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "run_words", "window_edits"])
@@ -181,8 +205,9 @@ def hits_by_join(docs: DataFrame, items: DataFrame, size: int, window: int, budg
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                pairs = [(h["doc_id_at"], h["item_id_at"]) for h in r.hits]
-                run, edits = verify(words(r.text), words(r.item_text), pairs, window, budget)
+                w, item = words(r.text), words(r.item_text)
+                runs = [(h["doc_id_at"], h["item_id_at"], *run_around(w, h["doc_id_at"], item, h["item_id_at"], size)) for h in r.hits]
+                run, edits = verify(w, item, [x for x in runs if promising(w, x[0], item, x[1], x[2], x[3], window, budget)], window, budget)
                 if edits <= budget:
                     out.append((r.doc_id, r.item_id, run, edits))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "run_words", "window_edits"])
