@@ -37,9 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     machine) a temporary folder is taken and set on the context.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if named:
+        if not current.isDefined():
+            spark.sparkContext.setCheckpointDir(named)
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     made = tempfile.mkdtemp(prefix="vectide-")
