@@ -188,14 +188,25 @@ def render(text: str, items: list[Leaf], labels: np.ndarray) -> tuple[str, list[
         elif piece:
             parts.append((kind, piece))
 
-    drop_until = None
+    title = False  # a heading sign has opened the line
     for x, y in zip(items, labels, strict=True):
         s = text[x.start : x.end]
-        kind = LABELS[y] if y > INLINE or HEADING <= y <= TABLE else "text"
-        if y == DROP or drop_until:
+        kind = LABELS[y] if HEADING <= y <= TABLE else "text"
+        if y == DROP:
             continue
-        if x.shape == "text" or y in (TEXT, LITERAL):
+        if x.shape == "text" and title:
+            line, end, rest = s.partition("\n")
+            put("heading", line.strip() + end)
+            put(kind if "\n" in s and kind != "heading" else "text", rest)
+            title = not end
+        elif x.shape == "text" or y in (TEXT, LITERAL):
             put(kind if y != LITERAL else "text", s)
+        elif y == HEADING and x.shape in ("hash", "equals"):
+            title = x.start == 0 or text[x.start - 1] == "\n"
+        elif y == HEADING and x.shape == "rule" and parts and parts[-1][0] != "heading":
+            body, _, line = parts.pop()[1].rstrip("\n").rpartition("\n")
+            put("text", body + "\n" if body else "")
+            put("heading", line + "\n")
         elif y == FORMULA:
             put("formula", s)
         elif x.shape == "entity":
@@ -228,15 +239,28 @@ def process(texts: list[str]) -> Iterator[tuple[str, list[Leaf], np.ndarray]]:
     yield from zip(texts, items, label(rows) if rows else [], strict=True)
 
 
+def cleaned(texts: list[str]) -> list[tuple[str, list[tuple[str, str]], bool]]:
+    """Clean text, blocks and whether it was marked. Markup that stood escaped in entities comes to light once and is cleaned too."""
+    out, again = [], []
+    for t, items, y in process(texts):
+        marked = is_marked(items, y)
+        out.append((*render(t, items, y), marked))
+        if marked and any(x.shape == "entity" and t[x.start : x.end] in ("&lt;", "&amp;", "&#60;", "&#x3c;") for x in items):
+            again.append(len(out) - 1)
+    for k, (t, items, y) in zip(again, process([out[k][0] for k in again]), strict=True):
+        if is_marked(items, y):
+            out[k] = (*render(t, items, y), True)
+    return out
+
+
 def clean(chunks: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
     """(id, clean_text, blocks, marked) of every distinct id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, (t, items, y) in zip(pdf["id"], process([t or "" for t in pdf["text"]]), strict=True):
-                body, blocks = render(t, items, y)
-                out.append((i, body, [{"kind": k, "text": v} for k, v in blocks], is_marked(items, y)))
+            for i, (body, blocks, marked) in zip(pdf["id"], cleaned([t or "" for t in pdf["text"]]), strict=True):
+                out.append((i, body, [{"kind": k, "text": v} for k, v in blocks], marked))
             frame = pd.DataFrame(out, columns=["id", "clean_text", "blocks", "marked"])
             frame.loc[pdf["text"].isna().to_numpy(), "clean_text"] = None
             yield frame
