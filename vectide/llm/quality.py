@@ -42,7 +42,7 @@ SCORE = 0.25
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _PUNCT = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*\Z")
 _BULLET = re.compile(r"\s*(?:[-*+•–—·▪◦‣]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlc]{1,5})[.)])\s+\S")
-_CONTENTS = re.compile(r"\S\s*(?:\.\s?){3,}\s*\d+\s*\Z|\S {2,}\d+\s*\Z")
+_CONTENTS = re.compile(r"\S\s*(?:\.\s?){3,}\s*\d+\s*\Z")
 _ENTRY = re.compile(r"\s*[^:\n]{1,60}:\s+\S[^\n]*\Z")
 _CELLS = (re.compile(r"\t"), re.compile(r" {2,}"), re.compile(r";(?=\S)"), re.compile(r"\s*\|\s*"), re.compile(r",(?=\S)"))
 
@@ -93,25 +93,24 @@ def kind_of(text: str, stats: tuple, common: frozenset[str]) -> str:
     if not lines:
         return "blank"
     chars = sum(len(x) for x in lines)
-    if n == 0 or mean > 16 or mean < 1.9 or symbols > 0.6 and n < 20:
+    if n == 0 or mean > 16 or symbols > 0.6 and n < 20:
         return "junk"
     ws = words(text)
     if n >= 12 and share < 0.25 and (len({x.strip() for x in lines}) < 0.5 * len(lines) if len(lines) > 2 else len(set(ws)) / n < 0.3):
         return "junk"
-    toc = sum(len(x) for x in lines if _CONTENTS.search(x)) / chars
     if len(lines) >= 2:
-        table = _table_share(lines, chars)
         bullets = sum(len(x) for x in lines if _BULLET.match(x)) / chars
-        entries = sum(len(x) for x in lines if _ENTRY.match(x) and not _PUNCT.search(x)) / chars
-        if toc >= 0.5 and share < 0.27:
+        if share < 0.27 and sum(len(x) for x in lines if _CONTENTS.search(x)) >= 0.5 * chars:
             return "list"
-        if table >= 0.6 and bullets < 0.5 and share < 0.22:
+        if share < 0.22 and bullets < 0.5 and _table_share(lines, chars) >= 0.6:
             return "table"
         # Items and entries: short lines, no sentence among them.
+        entries = sum(len(x) for x in lines if _ENTRY.match(x) and not _PUNCT.search(x)) / chars
         plain = sum(len(x) for x in lines if not _PUNCT.search(x) and len(x.split()) <= 14) / chars
-        if len(lines) >= 3 and (bullets >= 0.6 or entries >= 0.6 or plain >= 0.75) and share < (0.31 if bullets >= 0.6 else 0.26) and (share >= 0.02 or symbols < 0.12 and readable(ws)):
+        short = len(lines) >= 3 and (bullets >= 0.6 or entries >= 0.6 or plain >= 0.75)
+        if short and mean >= 1.9 and share < (0.31 if bullets >= 0.6 else 0.26) and (share >= 0.02 or symbols < 0.12 and readable(ws)):
             return "list"
-    if share < 0.12 and n >= 8:
+    if mean < 1.9 or share < 0.12 and n >= 8:
         return "junk"
     return "prose"
 
