@@ -37,7 +37,7 @@ SIDES = ("both", "both", "high", "low", "low")
 FALLBACK = "en"
 MAX_COMMON = 100_000
 #: A score is the sum over the statistics of how far -ln(tail) exceeds 1, which it does by chance for a third of all values.
-SCORE = 0.25
+SCORE = 1.0
 
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _PUNCT = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*\Z")
