@@ -7,9 +7,8 @@ some trie with at least the target probability (``prefix_length``). Each meeting
 by the exact Jaccard similarity of the full shingle sets.
 
 Texts with equal shingle sets are one *class*: only classes are hashed, met and verified, so a
-group of copies that holds a third of all rows costs one entry a task. Meetings come from a
-hash join on (trie, prefix) which adaptive execution splits where a prefix is hot; nothing is
-capped. Sets are only built for classes that met another, found by a bounded Bloom filter.
+group of copies that holds a third of all rows costs one entry a task. The prefixes are
+shuffled once and sorted, and runs of equal ones are paired block by block; nothing is capped. Sets are only built for classes that met another, found by a bounded Bloom filter.
 
 Results: null, empty and shorter texts belong to no pair; repeated rows count once; ids whose
 texts are equal form pairs as well. A class of more than ``EXPAND`` ids is tied by its
@@ -27,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import components
 from ..operators.orphans import bloom, filter_bits, membership
-from ..session import cut
-from .words import Hasher, mix, shingles, words
+from ..session import cut, slots
+from .words import Hasher, mix, shingle_sets, words
 
 TREES, DEPTH, TARGET = 64, 8, 0.98
 #: Above so many ids of one shingle set, pairs go through the smallest id.
@@ -48,28 +47,41 @@ def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, targ
 
 
 @lru_cache(maxsize=8)
-def _family(count: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(20240607)
-    return r.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, count, dtype=np.uint64)
+def _family(count: int) -> np.ndarray:
+    return np.random.default_rng(20240607).integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def prefixes(sets: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The prefix key of each trie: a hash of the first ``depth`` min-hashes of its sequence."""
-    a, b = _family(trees * depth)
-    low = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
+def prefixes(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
+    """The prefix key of each trie, for each set: a hash of the first ``depth`` min-hashes of the trie's sequence.
+
+    A min-hash is the least of ``low * a + high`` (mod 2**32) over the halves of the shingle
+    hashes, which single-word arithmetic computes many at a time.
+    """
+    a = _family(trees * depth)
+    low = np.full((len(sets), trees * depth), np.iinfo(np.uint32).max, np.uint32)
+    room = np.empty((128, trees * depth), np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(sets), 512):  # bounds memory for very long texts
-            low = np.minimum(low, (sets[at : at + 512, None] * a + b).min(axis=0))
-        grid = low.reshape(trees, depth)
-        key = np.arange(trees, dtype=np.uint64)
+        for k, s in enumerate(sets):
+            lo, hi = s.astype(np.uint32)[:, None], (s >> np.uint64(32)).astype(np.uint32)[:, None]
+            for at in range(0, len(s), 128):  # keeps the block in cache, whatever the text's length
+                block = room[: len(lo[at : at + 128])]
+                np.multiply(lo[at : at + 128], a, out=block)
+                np.add(block, hi[at : at + 128], out=block)
+                np.minimum(low[k], block.min(axis=0), out=low[k])
+        grid = low.reshape(len(sets), trees, depth).astype(np.uint64)
+        key = np.broadcast_to(np.arange(trees, dtype=np.uint64), (len(sets), trees))
         for k in range(depth):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, k])
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, :, k])
     return key.view(np.int64)
 
 
-def _set_key(sets: np.ndarray) -> int:
+def set_keys(sets: list[np.ndarray]) -> list[int]:
+    """A hash of each set that isn't empty."""
+    n = np.array([len(s) for s in sets], np.uint64)
+    starts = np.concatenate([[0], np.cumsum(n[:-1])]).astype(np.int64) if len(sets) else np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        return int(mix(mix(sets).sum(keepdims=True) + np.uint64(len(sets))).view(np.int64)[0])
+        sums = np.add.reduceat(mix(np.concatenate(sets)), starts) if len(sets) else np.zeros(0, np.uint64)
+        return mix(mix(sums) + n).view(np.int64).tolist()
 
 
 def forest(texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -78,24 +90,75 @@ def forest(texts: DataFrame, size: int, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, seen = Hasher(), set()
-        for pdf in batches:
-            out = []
-            for i, t in zip(pdf["id"], pdf["text"], strict=True):
-                s = shingles(words(t), size, hasher)
-                if len(s):
-                    key = _set_key(s)
-                    out.append((i, key, None if key in seen else prefixes(s, TREES, depth)))
-                    seen.add(key)
-            yield pd.DataFrame(out, columns=["id", "set_key", "keys"])
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                pdf = whole.iloc[at : at + 512]
+                sets = shingle_sets([words(t) for t in pdf["text"]], size, hasher)
+                pdf = pdf[[len(s) > 0 for s in sets]]
+                sets = [s for s in sets if len(s)]
+                if not sets:
+                    continue
+                keys = set_keys(sets)
+                first = {x: k for k, x in reversed(list(enumerate(keys))) if x not in seen}
+                seen.update(first)
+                made = dict(zip(first, prefixes([sets[k] for k in first.values()], TREES, depth), strict=True))
+                yield pd.DataFrame({"id": pdf["id"], "set_key": keys, "keys": [made[x] if first.get(x) == k else None for k, x in enumerate(keys)]})
 
     return texts.mapInPandas(run, "id long, set_key long, keys array<long>")
 
 
+def meetings(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: distinct classes that share a prefix in some trie.
+
+    The prefixes are shuffled once and sorted; runs of equal prefixes stream by. A long run
+    is paired block by block, so its pairs are never held at once.
+    """
+    block = 2048
+
+    def pairs(run: np.ndarray) -> Iterator[pd.DataFrame]:
+        run = np.unique(run)
+        for i in range(0, len(run), block):
+            for j in range(i, len(run), block):
+                x, y = run[i : i + block], run[j : j + block]
+                p, q = np.triu_indices(len(x), 1) if i == j else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
+                if len(p):
+                    yield pd.DataFrame({"a": x[p], "b": y[q]})
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, open_run = None, []
+        for pdf in batches:
+            key, item = pdf["key"].to_numpy(), pdf["set_key"].to_numpy()
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            if last == key[0]:
+                open_run.append(item[: ends[0]])
+                starts, ends = starts[1:], ends[1:]
+            if len(starts):
+                if sum(map(len, open_run)) > 1:
+                    yield from pairs(np.concatenate(open_run))
+                open_run = [item[starts[-1] :]]
+                size = (ends - starts)[:-1]
+                two = starts[:-1][size == 2]
+                a, b = item[two], item[two + 1]
+                keep = a != b
+                if keep.any():
+                    yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+                for k in np.flatnonzero(size > 2):
+                    yield from pairs(item[starts[k] : ends[k]])
+            last = key[-1]
+        if sum(map(len, open_run)) > 1:
+            yield from pairs(np.concatenate(open_run))
+
+    spread = rows.where("keys is not null").select("set_key", F.explode("keys").alias("key"))
+    n = slots(rows.sparkSession)
+    return spread.repartition(n, "key").sortWithinPartitions("key").mapInPandas(match, "a long, b long").distinct()
+
+
 def class_links(texts: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
     """(a, b, similarity) of classes a < b at or above the threshold."""
-    spread = rows.where("keys is not null").select("set_key", F.explode("keys").alias("key"))
-    left, right = spread.withColumnRenamed("set_key", "a"), spread.withColumnRenamed("set_key", "b")
-    met = cut(left.join(right, "key").where("a < b").select("a", "b").distinct())
+    met = cut(meetings(rows))
     wanted = met.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
     one = cut(rows.join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.min("id").alias("id")))
     possible = membership(texts.sparkSession, bloom(one, "id", filter_bits(one.count())))
@@ -103,14 +166,18 @@ def class_links(texts: DataFrame, rows: DataFrame, size: int, threshold: float)
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for pdf in batches:
-            sets = [shingles(words(t), size, hasher).view(np.int64) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "shingles": sets})
+            if not len(pdf):
+                continue
+            sets = shingle_sets([words(t) for t in pdf["text"]], size, hasher)
+            yield pd.DataFrame({"id": pdf["id"], "shingles": [s.view(np.int64) for s in sets]})
 
     sets = texts.where(possible("id")).mapInPandas(build, "id long, shingles array<long>").join(one, "id").dropDuplicates(["set_key"]).select("set_key", "shingles")
     pairs = met.join(sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(pdf["sa"], pdf["sb"], strict=True)], dtype=np.int64)
             either = pdf["sa"].map(len).to_numpy(np.int64) + pdf["sb"].map(len).to_numpy(np.int64) - both
             keep = both >= threshold * either - 1e-9

@@ -52,3 +52,23 @@ def shingles(ws: list[str], size: int, hasher: Hasher) -> np.ndarray:
         for k in range(1, size):
             h = mix(h * _MIX + w[k : len(w) - size + 1 + k])
     return np.unique(h)
+
+
+def shingle_sets(texts: list[list[str]], size: int, hasher: Hasher) -> list[np.ndarray]:
+    """``shingles`` of many texts, hashed in one go."""
+    if not texts:
+        return []
+    flat = hasher([w for ws in texts for w in ws])
+    n = len(flat) - size + 1
+    if n <= 0:
+        return [np.zeros(0, np.uint64)] * len(texts)
+    with np.errstate(over="ignore"):
+        h = flat[:n].copy()
+        for k in range(1, size):
+            h = mix(h * _MIX + flat[k : n + k])
+    out, at = [], 0
+    for ws in texts:
+        own = np.sort(h[at : at + max(0, len(ws) - size + 1)])
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+        at += len(ws)
+    return out
