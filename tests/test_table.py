@@ -139,3 +139,19 @@ def test_stream_insert_is_idempotent(spark, tmp_path):
     insert_stream(stream(), t, str(tmp_path / "c1")).awaitTermination()
     insert_stream(stream(), t, str(tmp_path / "c2")).awaitTermination()
     assert VectorTable.load(spark, str(tmp_path / "t")).count() == 8
+
+
+def test_recall_after_half_is_deleted_and_inserted_again(spark, tmp_path):
+    r = np.random.default_rng(42)
+    x = r.uniform(-1, 1, size=(500, 32)).astype(np.float32)
+    t = VectorTable.create(spark, str(tmp_path / "t"), "dims=32", "metric=l2", "ef_construction=60", "ef_search=64")
+    t.insert(frame(spark, x.tolist(), 1))
+    t.optimize()
+    t.delete(where=F.col("rowid") % 2 == 0)
+    t.insert(frame(spark, x[1::2].tolist(), 1001))
+    asked = [(i, r.uniform(-1, 1, 32).astype(np.float32)) for i in range(20)]
+    ids = np.array([*range(1, 501, 2), *range(1001, 1251)])
+    now = np.concatenate([x[0::2], x[1::2]])
+    found = t.match_indexed(asked, 10).collect()
+    share = [len({f["rowid"] for f in found if f["qid"] == i} & set(ids[np.argsort(np.linalg.norm(now - q, axis=1))[:10]].tolist())) / 10 for i, q in asked]
+    assert np.mean(share) >= 0.8 and t.count() == 500

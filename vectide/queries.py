@@ -534,6 +534,44 @@ def q_hnsw(s: SparkSession, d: str) -> DataFrame:
     return hnsw.search(rows, built, asked, 10, config, shards).select("qid", "rowid", F.round("distance", 6).alias("distance"))
 
 
+def _built(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, VecConfig, int]:
+    rows, config = rows_of(s, d), VecConfig(64, "l2", m=16, ef_construction=100, ef_search=64)
+    shards = hnsw.shard_count(rows.count())
+    return rows, hnsw.build(rows, config, shards), config, shards
+
+
+@query("hnsw_recall", "SELECT count(*) AS n_queries, true AS at_least_080 FROM embeddings WHERE vec_id % 20 = 0")
+def q_hnsw_recall(s: SparkSession, d: str) -> DataFrame:
+    rows, built, config, shards = _built(s, d)
+    ask = rows.where("rowid % 20 = 0")
+    asked = [(int(r["rowid"]), r["vector"]) for r in ask.limit(K.BLOCK).toLocalIterator()]
+    found = hnsw.search(rows, built, asked, 10, config, shards)
+    exact = K.batch_knn(rows, ask.select(F.col("rowid").alias("qid"), "vector"), 10, "l2")
+    return metrics.recall(found, exact, 10).select(F.lit(len(asked)).cast("long").alias("n_queries"), (F.col("recall_mean") >= 0.8).alias("at_least_080"))
+
+
+@query("hnsw_integrity", "SELECT 0::BIGINT AS orphan_ends, 0::BIGINT AS self_edges, 0::BIGINT AS negative, 0::BIGINT AS over_degree, 0::BIGINT AS without_layer")
+def q_hnsw_integrity(s: SparkSession, d: str) -> DataFrame:
+    rows, built, config, _ = _built(s, d)
+    return metrics.integrity(rows, hnsw.edges(built), hnsw.layers(built), config.m)
+
+
+@query("create_as_select", f"SELECT rowid, label, round(x, 6) AS distance FROM {_NEAR} n")
+def q_ctas(s: SparkSession, d: str) -> DataFrame:
+    where = f"{scratch(s)}/near"
+    K.knn(rows_of(s, d), first_vector(s, d), 20, keep=["label"]).write.parquet(where)
+    s.read.parquet(where).createOrReplaceTempView("vectide_ctas")
+    return s.sql("SELECT rowid, label, round(distance, 6) AS distance FROM vectide_ctas")
+
+
+@query("knn_ef_search", f"SELECT rowid, round(x, 6) AS distance FROM (SELECT rowid, {_sql_distance('l2')} AS x FROM {_E}, {_Q0} ORDER BY x, rowid LIMIT 7) n")
+def q_ef(s: SparkSession, d: str) -> DataFrame:
+    table = VectorTable.create(s, f"{scratch(s)}/t", config=VecConfig(64, "l2"))
+    table.insert(rows_of(s, d).select("rowid", "vector"))
+    r = planner.Request(query=first_vector(s, d), matched=True, ef_search=7)
+    return planner.run(table, r).select("rowid", F.round("distance", 6).alias("distance"))
+
+
 @query("ann_lsh_topk")
 def q_lsh(s: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.feature import BucketedRandomProjectionLSH
