@@ -3,6 +3,8 @@
 The two halves of each unit vector are quantised separately, which gives a grid of cells. A
 query walks through pairs of half-centroids by summed distance, with a heap, until it has
 met ``budget`` entries; the entries of these cells are reranked by exact cosine similarity.
+Where only neighbours above a similarity count, the walk leaves out cells that by their
+radius can't hold one, which loses nothing.
 
 Fitting uses at most ``SAMPLE`` vectors; every vector is indexed. ``budget`` is calibrated:
 for ``PROBES`` sample queries the true neighbours are found by a full pass, and the budget is
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut, slots
 from .vectors import DIMS, distinct_vectors, unit, usable
 
-SAMPLE, PROBES, TARGET = 20_000, 256, 0.97
+SAMPLE, PROBES, TARGET, LEAST_BUDGET = 20_000, 384, 0.99, 512
 MAX_HALF, CELL_ROWS = 256, 48
 REGION_ROWS = (4096, 16_384)
 
@@ -48,6 +50,7 @@ class Grid:
     first: np.ndarray
     second: np.ndarray
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    radius: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     region: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     budget: int = 0
 
@@ -60,9 +63,10 @@ class Grid:
         a, b = self.distances(x)
         return (a.argmin(axis=1) * len(self.second) + b.argmin(axis=1)).astype(np.int32)
 
-    def walk(self, x: np.ndarray, budget: int | None = None) -> Iterator[list[int]]:
-        """For each vector the occupied cells by summed half distances, until they hold ``budget`` entries."""
+    def walk(self, x: np.ndarray, budget: int | None = None, least: float = -1.0) -> Iterator[list[int]]:
+        """For each vector the occupied cells by summed half distances, until they hold ``budget`` entries; cells without a vector of similarity ``least`` may be left out."""
         budget, counts, width = budget or self.budget, self.counts, len(self.second)
+        reach = self.radius + (2 - 2 * least) ** 0.5 + 1e-4 if least > -1 and len(self.radius) else None
         da, db = self.distances(x)
         oa, ob = da.argsort(axis=1), db.argsort(axis=1)
         for k in range(len(x)):
@@ -70,10 +74,12 @@ class Grid:
             ia, ib = (oa[k] * width).tolist(), ob[k].tolist()
             heap, got, out = [(a[0] + b[0], 0, 0)], 0, []
             while heap and got < budget:
-                _, i, j = heapq.heappop(heap)
-                n = counts[ia[i] + ib[j]]
+                d, i, j = heapq.heappop(heap)
+                cell = ia[i] + ib[j]
+                n = counts[cell]
                 if n:
-                    out.append(ia[i] + ib[j])
+                    if reach is None or d <= reach[cell] ** 2:
+                        out.append(cell)
                     got += n
                 if j + 1 < len(b):
                     heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
@@ -153,18 +159,23 @@ def fit(vectors: DataFrame, key: str, target: float = TARGET, k: int = 5, least:
         for pdf in batches:
             if len(pdf):
                 u = unit(pdf["vector"].tolist())
-                yield pd.DataFrame({"vkey": pdf["vkey"], "x": list(u), "cell": shared.value.cells(u)})
+                a, b = shared.value.distances(u)
+                i, j = a.argmin(axis=1), b.argmin(axis=1)
+                far = np.sqrt(np.take_along_axis(a, i[:, None], 1) + np.take_along_axis(b, j[:, None], 1))[:, 0]
+                yield pd.DataFrame({"vkey": pdf["vkey"], "x": list(u), "cell": (i * b.shape[1] + j).astype(np.int32), "far": far})
 
-    entries = cut(rows.mapInPandas(assign, "vkey long, x array<float>, cell int"))
+    entries = cut(rows.mapInPandas(assign, "vkey long, x array<float>, cell int, far float"))
     counts = np.zeros(len(grid.first) * len(grid.second), np.int64)
-    for r in entries.groupBy("cell").count().toLocalIterator():  # at most MAX_HALF ** 2 rows
-        counts[r["cell"]] = r["count"]
+    radius = np.zeros(len(counts), np.float32)
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).toLocalIterator():  # at most MAX_HALF ** 2 rows
+        counts[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    entries = entries.drop("far")
     occupied = np.flatnonzero(counts)
     points = np.concatenate([grid.first[occupied // len(grid.second)], grid.second[occupied % len(grid.second)]], axis=1)
     most = int(min(REGION_ROWS[1], max(REGION_ROWS[0], total / 24)))
     region = np.full(len(counts), -1, np.int32)
     region[occupied] = regions(occupied, counts[occupied], points, most)
-    grid = Grid(grid.first, grid.second, counts, region)
+    grid = Grid(grid.first, grid.second, counts, radius, region)
     grid.budget = _budget(entries, grid, x[:PROBES], target, k, total, least)
     return Index(grid, entries, total)
 
@@ -191,15 +202,22 @@ def _budget(entries: DataFrame, grid: Grid, probes: np.ndarray, target: float, k
     needed = []
     for q, g in true.groupby("q"):
         path = next(grid.walk(probes[q : q + 1], total))
-        reach = dict(zip(path, np.cumsum(grid.counts[path]), strict=True))
+        # A walk takes its last cell whole, so what counts is the entries met before a cell.
+        reach = dict(zip(path, np.cumsum(grid.counts[path]) - grid.counts[path] + 1, strict=True))
         others = g.sort_values("s", ascending=False).iloc[1:]
         needed += [reach[c] for c in others.loc[others["s"] >= least, "cell"]]
-    return int(min(total, max(256, np.quantile(needed, target) if needed else 256)))
+    return int(min(total, max(LEAST_BUDGET, np.quantile(needed, target) if needed else 0)))
 
 
-def routed(index: Index, asking: DataFrame | None = None) -> DataFrame:
-    """Entries (kind 0) and queries (kind 1), by region: (region, kind, cell, vkey, x, cells). ``asking`` holds the query keys, all if None."""
-    entries = index.entries.withColumn("asks", F.lit(True)) if asking is None else index.entries.join(asking.select("vkey", F.lit(True).alias("asks")), "vkey", "left")
+def routed(index: Index, asking: DataFrame | None = None, least: float = -1.0, entries: DataFrame | None = None, extra: str = "") -> DataFrame:
+    """Entries (kind 0) and queries (kind 1), by region: (region, kind, cell, vkey, x, cells, extra).
+
+    ``asking`` holds the query keys, all if None; ``entries`` may be a part of the index's
+    with one more column named ``extra`` of longs.
+    """
+    entries = index.entries if entries is None else entries
+    entries = entries.withColumn("asks", F.lit(True)) if asking is None else entries.join(asking.select("vkey", F.lit(True).alias("asks")), "vkey", "left")
+    names = ["region", "kind", "cell", "vkey", "x", "cells", *([extra] if extra else [])]
     shared = index.entries.sparkSession.sparkContext.broadcast(index.grid)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,16 +225,18 @@ def routed(index: Index, asking: DataFrame | None = None) -> DataFrame:
         for whole in batches:
             for at in range(0, len(whole), 2000):
                 pdf = whole.iloc[at : at + 2000]
-                out = [(grid.region[cell], 0, cell, vkey, v, None) for vkey, v, cell in zip(pdf["vkey"], pdf["x"], pdf["cell"], strict=True)]
-                pdf = pdf[pdf["asks"].notna()]
+                more = list(zip(pdf[extra])) if extra else [()] * len(pdf)
+                out = [(grid.region[cell], 0, cell, vkey, v, None, *m) for vkey, v, cell, m in zip(pdf["vkey"], pdf["x"], pdf["cell"], more, strict=True)]
+                asks = pdf["asks"].notna().to_numpy()
+                pdf, more = pdf[asks], [m for m, a in zip(more, asks, strict=True) if a]
                 x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 2), np.float32)
-                for vkey, v, cell, path in zip(pdf["vkey"], pdf["x"], pdf["cell"], grid.walk(x) if len(pdf) else (), strict=True):
+                for vkey, v, cell, path, m in zip(pdf["vkey"], pdf["x"], pdf["cell"], grid.walk(x, None, least) if len(pdf) else (), more, strict=True):
                     path = np.array(path, np.int32)
                     into = grid.region[path]
-                    out += [(r, 1, cell, vkey, v, path[into == r]) for r in np.unique(into)]
-                yield pd.DataFrame(out, columns=["region", "kind", "cell", "vkey", "x", "cells"])
+                    out += [(r, 1, cell, vkey, v, path[into == r], *m) for r in np.unique(into)]
+                yield pd.DataFrame(out, columns=names)
 
-    return entries.mapInPandas(send, "region int, kind int, cell int, vkey long, x array<float>, cells array<int>")
+    return entries.mapInPandas(send, "region int, kind int, cell int, vkey long, x array<float>, cells array<int>" + (f", {extra} long" if extra else ""))
 
 
 def by_region(rows: DataFrame, match, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -300,7 +320,7 @@ def nearest(index: Index, k: int, least: float = -1.0, asking: DataFrame | None
         norm = np.linalg.norm(x[r].astype(np.float64), axis=1) * np.linalg.norm(y[cols].astype(np.float64), axis=1)
         return pd.DataFrame({"vkey": own[r], "other": other[cols], "similarity": exact / norm})
 
-    hits = by_region(routed(index, asking), match, "vkey long, other long, similarity double").where(F.col("similarity") >= least)
+    hits = by_region(routed(index, asking, least), match, "vkey long, other long, similarity double").where(F.col("similarity") >= least)
     return hits.selectExpr("*", "row_number() over (partition by vkey order by similarity desc, other) r").where(f"r <= {k}").drop("r")
 
 
