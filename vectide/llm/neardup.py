@@ -113,19 +113,18 @@ def meetings(rows: DataFrame) -> DataFrame:
     The prefixes are shuffled once and sorted; runs of equal prefixes stream by. A long run
     is paired block by block, so its pairs are never held at once.
     """
-    block = 2048
+    block, full = 2048, 1 << 16
 
-    def pairs(run: np.ndarray) -> Iterator[pd.DataFrame]:
+    def pairs(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         run = np.unique(run)
         for i in range(0, len(run), block):
             for j in range(i, len(run), block):
                 x, y = run[i : i + block], run[j : j + block]
                 p, q = np.triu_indices(len(x), 1) if i == j else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
-                if len(p):
-                    yield pd.DataFrame({"a": x[p], "b": y[q]})
+                yield x[p], y[q]
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, open_run = None, []
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        last, held = None, []
         for pdf in batches:
             key, item = pdf["key"].to_numpy(), pdf["set_key"].to_numpy()
             if not len(key):
@@ -133,23 +132,32 @@ def meetings(rows: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(starts[1:], len(key))
             if last == key[0]:
-                open_run.append(item[: ends[0]])
+                held.append(item[: ends[0]])
                 starts, ends = starts[1:], ends[1:]
             if len(starts):
-                if sum(map(len, open_run)) > 1:
-                    yield from pairs(np.concatenate(open_run))
-                open_run = [item[starts[-1] :]]
+                if sum(map(len, held)) > 1:
+                    yield from pairs(np.concatenate(held))
+                held = [item[starts[-1] :]]
                 size = (ends - starts)[:-1]
                 two = starts[:-1][size == 2]
                 a, b = item[two], item[two + 1]
-                keep = a != b
-                if keep.any():
-                    yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+                yield np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
                 for k in np.flatnonzero(size > 2):
                     yield from pairs(item[starts[k] : ends[k]])
             last = key[-1]
-        if sum(map(len, open_run)) > 1:
-            yield from pairs(np.concatenate(open_run))
+        if sum(map(len, held)) > 1:
+            yield from pairs(np.concatenate(held))
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, n = [], 0
+        for part in runs(batches):
+            found.append(part)
+            n += len(part[0])
+            if n >= full:
+                yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
+                found, n = [], 0
+        if n:
+            yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
 
     spread = rows.where("keys is not null").select("set_key", F.explode("keys").alias("key"))
     n = slots(rows.sparkSession)
