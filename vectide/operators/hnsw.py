@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import VecConfig, check_k, check_metric
 from ..functions.kernels import KERNELS, store
 
-SHARD_ROWS = 20_000
+SHARD_ROWS, LEAST_ROWS = 20_000, 250
 GRAPH = "shard int, layer int, node_id long, neighbor_id long, distance double"
 LAYERS = "shard int, node_id long, max_layer int"
 
@@ -121,8 +121,9 @@ def with_shards(rows: DataFrame, shards: int, key: str = "rowid") -> DataFrame:
     return rows.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
 
 
-def shard_count(rows: int, shard_rows: int = SHARD_ROWS) -> int:
-    return max(1, -(-rows // shard_rows))
+def shard_count(rows: int, cores: int = 1) -> int:
+    """As many shards as ``SHARD_ROWS`` asks for, and up to one a core while each has ``LEAST_ROWS``."""
+    return max(1, -(-rows // SHARD_ROWS), min(cores, rows // LEAST_ROWS))
 
 
 def build(rows: DataFrame, config: VecConfig, shards: int, seed: int = 42, key: str = "rowid", vector: str = "vector") -> DataFrame:

@@ -19,7 +19,7 @@ from .functions.register import register, scalar_udfs
 from .operators import hnsw, knn as K, metrics, orphans, text
 from .operators.components import components
 from .plans import planner
-from .session import shared_dir, table as t
+from .session import shared_dir, spread, table as t
 from .sources.table import VectorTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,7 @@ def first_vector(s: SparkSession, d: str, rowid: int = 0) -> np.ndarray:
 
 
 def constant(v: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(x)).cast("float") for x in v])
+    return F.expr("array(" + ", ".join(f"float({float(x)!r}D)" for x in v) + ")")
 
 
 def scratch(s: SparkSession) -> str:
@@ -437,7 +437,7 @@ def q_latency(s: SparkSession, d: str) -> DataFrame:
 
 @query("chunk_documents")
 def q_chunks(s: SparkSession, d: str) -> DataFrame:
-    return text.chunk(t(s, d, "documents"))
+    return text.chunk(spread(t(s, d, "documents").select("doc_id", "text")))
 
 
 def _strip_sql() -> str:
@@ -450,7 +450,7 @@ def _strip_sql() -> str:
 
 @query("strip_markup", f"SELECT DISTINCT id, length({_strip_sql()}) AS n_chars FROM wiki_chunks WHERE content IS NOT NULL")
 def q_strip(s: SparkSession, d: str) -> DataFrame:
-    rows = t(s, d, "wiki_chunks").where("content is not null")
+    rows = spread(t(s, d, "wiki_chunks").where("content is not null").select("id", "content"))
     return rows.select("id", F.length(text.strip_markup(F.col("content"))).cast("long").alias("n_chars")).distinct()
 
 
@@ -524,22 +524,19 @@ def q_search(s: SparkSession, d: str) -> DataFrame:
     return s.sql(f"SELECT rowid, round(distance, 6) AS distance FROM vec_search_demo(array({q}), 10)")
 
 
+def _built(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, VecConfig, int]:
+    rows, config = rows_of(s, d), VecConfig(64, "l2", m=16, ef_construction=100, ef_search=64)
+    shards = hnsw.shard_count(rows.count(), s.sparkContext.defaultParallelism)
+    return rows, hnsw.build(rows, config, shards), config, shards
+
+
 @query("ann_hnsw_topk")
 def q_hnsw(s: SparkSession, d: str) -> DataFrame:
-    rows = rows_of(s, d)
-    config = VecConfig(64, "l2", m=16, ef_construction=100, ef_search=64)
-    shards = hnsw.shard_count(rows.count())
-    built = hnsw.build(rows, config, shards)
+    rows, built, config, shards = _built(s, d)
     asked = [(int(r["rowid"]), r["vector"]) for r in rows.where("rowid % 20 = 0").limit(K.BLOCK).toLocalIterator()]
     return hnsw.search(rows, built, asked, 10, config, shards).select("qid", "rowid", F.round("distance", 6).alias("distance"))
 
 
-def _built(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, VecConfig, int]:
-    rows, config = rows_of(s, d), VecConfig(64, "l2", m=16, ef_construction=100, ef_search=64)
-    shards = hnsw.shard_count(rows.count())
-    return rows, hnsw.build(rows, config, shards), config, shards
-
-
 @query("hnsw_recall", "SELECT count(*) AS n_queries, true AS at_least_080 FROM embeddings WHERE vec_id % 20 = 0")
 def q_hnsw_recall(s: SparkSession, d: str) -> DataFrame:
     rows, built, config, shards = _built(s, d)

@@ -58,3 +58,9 @@ def cut(df: DataFrame) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """A partition count that keeps all cores busy without tiny tasks."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores over all cores, for stages that cost more than moving the rows; others as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
