@@ -119,3 +119,20 @@ def test_regions_cover_all_cells():
     cells, counts, points = np.arange(500), r.integers(1, 90, 500), r.normal(size=(500, 64)).astype(np.float32)
     out = imi.regions(cells, counts, points, 3000)
     assert np.bincount(out, weights=counts).max() <= 3000 and out.min() == 0
+
+
+def test_a_hot_cell_is_spread(spark, monkeypatch):
+    x = groups(6, [260, 40], alone=20)
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    monkeypatch.setattr(imi, "REGION_ROWS", (64, 64))
+    rows = usable(df)
+    index = imi.fit(rows.selectExpr("xxhash64(vector) vkey", "vector"), "vkey")
+    assert index.grid.parts.max() > 1
+    sent = imi.routed(index).where("kind = 0").groupBy("region").count().toPandas()
+    assert sent["count"].sum() == len(x) and sent["count"].max() < 130
+    s = exact(x)
+    np.fill_diagonal(s, -9)
+    top = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    want = {(min(i, j), max(i, j)) for i in range(len(x)) for j in top[i] if s[i, j] >= 0.75}
+    assert {r[:] for r in imi.found(df).select("rowid_a", "rowid_b").collect()} == want
+    assert clustering.found(df).groupBy("cluster_key").count().where("count >= 40").count() == 2

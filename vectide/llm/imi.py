@@ -14,7 +14,8 @@ measured, not assumed.
 Distribution: cells are gathered into regions of about equal numbers of entries by bisecting
 the occupied cells along their principal direction. Entries go to their region, a query to
 each region that holds cells of its walk; queries of neighbouring cells are matched with the
-union of their cells in one matrix product. Only the best k of each region leave it. The
+union of their cells in one matrix product. A cell too large for a region is spread over
+several by key, and its queries go to each. Only the best k of each region leave it. The
 driver holds the centroids and one count per cell, at most ``MAX_HALF``**2 numbers.
 
 Equal vectors are one entry with their smallest ids, so copies cost nothing and their ties
@@ -52,6 +53,8 @@ class Grid:
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     radius: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     region: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    base: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     budget: int = 0
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +178,8 @@ def fit(vectors: DataFrame, key: str, target: float = TARGET, k: int = 5, least:
     most = int(min(REGION_ROWS[1], max(REGION_ROWS[0], total / 24)))
     region = np.full(len(counts), -1, np.int32)
     region[occupied] = regions(occupied, counts[occupied], points, most)
-    grid = Grid(grid.first, grid.second, counts, radius, region)
+    parts = np.maximum(1, -(-np.bincount(region[occupied], weights=counts[occupied]).astype(np.int64) // most)).astype(np.int32)
+    grid = Grid(grid.first, grid.second, counts, radius, region, (parts.cumsum() - parts).astype(np.int32), parts)
     grid.budget = _budget(entries, grid, x[:PROBES], target, k, total, least)
     return Index(grid, entries, total)
 
@@ -226,14 +230,16 @@ def routed(index: Index, asking: DataFrame | None = None, least: float = -1.0, e
             for at in range(0, len(whole), 2000):
                 pdf = whole.iloc[at : at + 2000]
                 more = list(zip(pdf[extra])) if extra else [()] * len(pdf)
-                out = [(grid.region[cell], 0, cell, vkey, v, None, *m) for vkey, v, cell, m in zip(pdf["vkey"], pdf["x"], pdf["cell"], more, strict=True)]
+                home = grid.region[pdf["cell"].to_numpy()]
+                part = grid.base[home] + pdf["vkey"].to_numpy() % grid.parts[home]
+                out = [(r, 0, cell, vkey, v, None, *m) for r, vkey, v, cell, m in zip(part, pdf["vkey"], pdf["x"], pdf["cell"], more, strict=True)]
                 asks = pdf["asks"].notna().to_numpy()
                 pdf, more = pdf[asks], [m for m, a in zip(more, asks, strict=True) if a]
                 x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 2), np.float32)
                 for vkey, v, cell, path, m in zip(pdf["vkey"], pdf["x"], pdf["cell"], grid.walk(x, None, least) if len(pdf) else (), more, strict=True):
                     path = np.array(path, np.int32)
                     into = grid.region[path]
-                    out += [(r, 1, cell, vkey, v, path[into == r], *m) for r in np.unique(into)]
+                    out += [(grid.base[r] + k, 1, cell, vkey, v, path[into == r], *m) for r in np.unique(into) for k in range(grid.parts[r])]
                 yield pd.DataFrame(out, columns=names)
 
     return entries.mapInPandas(send, "region int, kind int, cell int, vkey long, x array<float>, cells array<int>" + (f", {extra} long" if extra else ""))
