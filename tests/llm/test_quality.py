@@ -63,3 +63,11 @@ def test_tables(spark, common):
     assert len(rows) == 64 and max(rows[i]["score"] for i in range(60)) < rows[102]["score"] and all(len(x["tails"]) == 5 and min(x["tails"]) > 0 for x in rows.values())
     assert Q.stats(df, common).count() == 66
     assert Q.found(df.where("false"), common).count() == 0 and Q.stats(df, common.where("false")).where("common_share > 0").count() == 0
+
+
+def test_common_kinds_are_found(spark, common):
+    items, cells = "• old wall\n• wide river\n• mill of Gor\n• stone bridge", "name\tsize\nGor\t12\nHal\t13\nNor\t99"
+    prose = [(i, f"{PROSE} The end of it was {i} in the north.") for i in range(40)]
+    lists = [(100 + i, items) for i in range(20)] + [(100, items)]
+    assert {x[:] for x in Q.found(frame(spark, prose + lists), common).collect()} == {(i, "list") for i in range(100, 120)}
+    assert {x[:] for x in Q.found(frame(spark, [(1, items), (2, cells)]), common).collect()} == {(1, "list"), (2, "table")}

@@ -5,7 +5,10 @@ characters that aren't blank, share of lines that end in punctuation, and share
 words in its best language. Per language, exact ranks of every statistic come from one
 range-partitioned sort: partitions are sorted by (language, statistic, value), each reports
 how many values it holds, and the running totals of the partitions before are its offsets.
-The ranks give empirical tail probabilities, whose logarithms add up to an outlier score.
+The ranks give empirical tail probabilities; an outlier score adds up how far -ln(tail) exceeds
+1, which it does by chance for a third of all values. The score ranks texts within the mix of
+their language; the kind comes from the shape of the lines alone, so kinds that are common in
+a language are found as well.
 
 Equal values may be split between partitions (the sort key ends with a hash of the id), so a
 value that a third of all rows share fills no single task; ties that cross a border are
@@ -36,8 +39,6 @@ STATS = ("n_words", "mean_word_len", "symbol_share", "punct_line_share", "common
 SIDES = ("both", "both", "high", "low", "low")
 FALLBACK = "en"
 MAX_COMMON = 100_000
-#: A score is the sum over the statistics of how far -ln(tail) exceeds 1, which it does by chance for a third of all values.
-SCORE = 1.0
 
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _PUNCT = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*\Z")
@@ -237,8 +238,8 @@ def scored(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
 
 
 def found(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(id, content_kind) of the outliers whose lines are items, cells or nothing to read."""
-    return scored(chunks, common_words).where((F.col("score") >= SCORE) & (F.col("shape") != "prose")).select("id", F.col("shape").alias("content_kind"))
+    """(id, content_kind) of the texts whose lines are items, cells or nothing to read, however common they are in their language."""
+    return measured(chunks, common_words).where("shape not in ('prose', 'blank')").select("id", F.col("shape").alias("content_kind"))
 
 
 def stats(chunks: DataFrame, common_words: DataFrame) -> DataFrame:
