@@ -136,3 +136,15 @@ def test_a_hot_cell_is_spread(spark, monkeypatch):
     want = {(min(i, j), max(i, j)) for i in range(len(x)) for j in top[i] if s[i, j] >= 0.75}
     assert {r[:] for r in imi.found(df).select("rowid_a", "rowid_b").collect()} == want
     assert clustering.found(df).groupBy("cluster_key").count().where("count >= 40").count() == 2
+
+
+def test_a_group_larger_than_a_walk_is_one_cluster(spark):
+    # Close families of ten within one group: the five nearest are met at once, the other 1,990 are neighbours too.
+    r = np.random.default_rng(7)
+    c = r.normal(size=64)
+    heads = c + 0.38 * r.normal(size=(200, 64))
+    x = np.concatenate([np.repeat(heads, 10, axis=0) + 0.02 * r.normal(size=(2000, 64)), r.normal(size=(400, 64))]).astype(np.float32)
+    s = exact(x)
+    assert s[:2000, :2000].min() >= 0.7 and s[2000:, :2000].max() < 0.7
+    big = next(r for r in clustering.clusters(table(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect() if r["cluster_id"] == 0)
+    assert big["n_members"] == 2000 and big["medoid"] == int(s[:2000, :2000].sum(axis=1).argmax())
