@@ -24,3 +24,12 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["knn_l2", "knn_threshold_band", "batch_knn", "label_stats", "degree_stats", "strip_markup", "p3_counts"])
 def test_some_queries(spark, name):
     assert e.queries()[name](spark, DATA).count() > 0
+
+
+def test_components_of_all_layers(spark, tmp_path):
+    from vectide.queries import QUERIES
+
+    edges = [(0, 1, 2), (0, 2, 3), (1, 4, 3), (0, 7, 8), (0, 8, 8), (0, 9, None), (0, 1, 2)]
+    spark.createDataFrame(edges, "layer int, node_id long, neighbor_id long").write.parquet(f"{tmp_path}/v_graph.parquet")
+    got = {x[:] for x in QUERIES["graph_components_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7)}

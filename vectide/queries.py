@@ -410,6 +410,11 @@ def q_components(s: SparkSession, d: str) -> DataFrame:
     return components(t(s, d, "v_graph").where("layer > 0"), "node_id", "neighbor_id")
 
 
+@query("graph_components_all")
+def q_components_all(s: SparkSession, d: str) -> DataFrame:
+    return components(t(s, d, "v_graph"), "node_id", "neighbor_id")
+
+
 @query(
     "recall_exact_vs_int8",
     f"""WITH p8 AS (SELECT b.rowid AS qid, a.rowid, {_sql_distance('l2', 'a.v', 'b.v')} AS x FROM {_I8ROWS} a, {_I8ROWS} b WHERE b.rowid % 20 = 0),
