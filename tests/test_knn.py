@@ -81,3 +81,15 @@ def test_recall_and_latency(spark):
     assert metrics.recall(found, truth, 2).first()[:] == (0.75, 0.5, 1.0)
     p = metrics.latency(spark.range(1, 102).withColumn("ms", F.col("id").cast("double")), "ms").first()
     assert p[:] == (1.0, 51.0, 96.0, 100.0, 101.0)
+
+
+def test_graph_queries_beyond_one_block(spark, tmp_path, monkeypatch):
+    from vectide.queries import QUERIES
+
+    r = np.random.default_rng(8)
+    rows = [(i, r.uniform(-1, 1, 64).astype(np.float32).tolist(), "a") for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(K, "BLOCK", 4)
+    got = QUERIES["ann_hnsw_topk"](spark, str(tmp_path)).groupBy("qid").count().collect()
+    assert {x[:] for x in got} == {(i, 10) for i in range(0, 300, 20)}
+    assert QUERIES["hnsw_recall"](spark, str(tmp_path)).first()[:] == (15, True)
