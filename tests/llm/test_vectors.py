@@ -148,3 +148,42 @@ def test_a_group_larger_than_a_walk_is_one_cluster(spark):
     assert s[:2000, :2000].min() >= 0.7 and s[2000:, :2000].max() < 0.7
     big = next(r for r in clustering.clusters(table(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect() if r["cluster_id"] == 0)
     assert big["n_members"] == 2000 and big["medoid"] == int(s[:2000, :2000].sum(axis=1).argmax())
+
+
+def test_rounds_on_driver_and_in_passes_agree(spark, monkeypatch, made):
+    x, df = made
+    want = {r[:] for r in clustering.found(df).select("rowid", "cluster_key").collect()}
+    sizes = {r["cluster_id"]: r["n_members"] for r in clustering.clusters(df).collect()}
+    for batches, block in ((0, 100), (2, 64)):
+        monkeypatch.setattr(clustering, "BATCH", 16)
+        monkeypatch.setattr(clustering, "BATCHES", batches)
+        monkeypatch.setattr(clustering, "BLOCK", block)
+        assert {r[:] for r in clustering.found(df).select("rowid", "cluster_key").collect()} == want
+        assert {r["cluster_id"]: r["n_members"] for r in clustering.clusters(df).collect()} == sizes
+
+
+def test_pivots_are_those_of_the_hash_order(spark, made):
+    x, _ = made
+    near, order = exact(x) >= 0.7, np.random.default_rng(3).permutation(len(x))
+    want, taken = [], np.zeros(len(x), bool)
+    for i in order:
+        if not taken[i]:
+            want.append(i)
+            taken |= near[i]
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    assert order[clustering.local_minima(u[order], 0.7)].tolist() == want
+
+
+def test_one_link_joins_two_large_groups(spark, monkeypatch):
+    # Two groups of 600 at a right angle, and two vectors between them that are neighbours of each other and of one group each.
+    r = np.random.default_rng(8)
+    a, b = np.eye(64)[0], np.eye(64)[1]
+    near = [c + 0.02 * r.normal(size=(600, 64)) for c in (a, b)]
+    bridge = np.array([np.cos(t) * a + np.sin(t) * b for t in (0.5, 1.1)])
+    x = np.concatenate([*near, bridge]).astype(np.float32)
+    s = exact(x)
+    assert s[:600, 600:1200].max() < 0.7 and s[1200, 600:1200].max() < 0.7 and s[1201, :600].max() < 0.7 and s[1200, 1201] >= 0.7
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    assert {r[:] for r in clustering.found(df).select("rowid", "cluster_key").collect()} == {(i, 0) for i in range(1202)}
+    alone = table(spark, [(i, v.tolist()) for i, v in enumerate(x[:-1])])
+    assert clustering.found(alone).select("cluster_key").distinct().count() == 2

@@ -16,10 +16,8 @@ the occupied cells along their principal direction. Entries go to their region,
 each region that holds cells of its walk; queries of neighbouring cells are matched with the
 union of their cells in one matrix product. A cell too large for a region is spread over
 several by key, and its queries go to each. Only the best k of each region leave it. The
-driver holds the centroids and one count per cell, at most ``MAX_HALF``**2 numbers.
-
-A whole pass, for callers that need every neighbour above a similarity, has no budget: only the
-cells' radii bound it.
+driver holds the centroids and one count per cell, at most ``MAX_HALF``**2 numbers, so cells
+keep their size up to 50 million vectors.
 
 Equal vectors are one entry with their smallest ids, so copies cost nothing and their ties
 are exact. A cell is never cut off: a walk takes cells whole.
@@ -43,7 +41,7 @@ from ..session import cut, slots
 from .vectors import DIMS, distinct_vectors, unit, usable
 
 SAMPLE, PROBES, TARGET, LEAST_BUDGET = 20_000, 384, 0.99, 512
-MAX_HALF, CELL_ROWS = 256, 48
+MAX_HALF, CELL_ROWS = 1024, 48
 REGION_ROWS = (4096, 16_384)
 
 
@@ -93,12 +91,6 @@ class Grid:
                     heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
             yield out
 
-    def within(self, x: np.ndarray, cells: np.ndarray, least: float) -> np.ndarray:
-        """Whether each cell may, by its radius, hold a vector of similarity ``least`` to each of ``x``."""
-        da, db = self.distances(x)
-        width = len(self.second)
-        return da[:, cells // width] + db[:, cells % width] <= (self.radius[cells] + (2 - 2 * least) ** 0.5 + 1e-4) ** 2
-
 
 def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1), 0)
@@ -153,11 +145,8 @@ class Index:
     total: int
 
 
-def fit(vectors: DataFrame, key: str, target: float | None = TARGET, k: int = 5, least: float = -1.0, seed: int = 11) -> Index:
-    """An index over (key, vector) rows with distinct vectors; only neighbours at least so similar count in the calibration.
-
-    Without a target no budget is calibrated: the index is for whole passes (``routed`` with ``whole``).
-    """
+def fit(vectors: DataFrame, key: str, target: float = TARGET, k: int = 5, least: float = -1.0, seed: int = 11) -> Index:
+    """An index over (key, vector) rows with distinct vectors; only neighbours at least so similar count in the calibration."""
     spark = vectors.sparkSession
     total = vectors.count()
     rows = vectors.select(F.col(key).alias("vkey"), "vector")
@@ -187,14 +176,12 @@ def fit(vectors: DataFrame, key: str, target: float | None = TARGET, k: int = 5,
     entries = entries.drop("far")
     occupied = np.flatnonzero(counts)
     points = np.concatenate([grid.first[occupied // len(grid.second)], grid.second[occupied % len(grid.second)]], axis=1)
-    # In a whole pass most queries go to most regions, so these are fewer.
-    most = int(min(REGION_ROWS[1], max(REGION_ROWS[0], total / (24 if target else 12))))
+    most = int(min(REGION_ROWS[1], max(REGION_ROWS[0], total / 24)))
     region = np.full(len(counts), -1, np.int32)
     region[occupied] = regions(occupied, counts[occupied], points, most)
     parts = np.maximum(1, -(-np.bincount(region[occupied], weights=counts[occupied]).astype(np.int64) // most)).astype(np.int32)
     grid = Grid(grid.first, grid.second, counts, radius, region, (parts.cumsum() - parts).astype(np.int32), parts)
-    if target:
-        grid.budget = _budget(entries, grid, x[:PROBES], target, k, total, least)
+    grid.budget = _budget(entries, grid, x[:PROBES], target, k, total, least)
     return Index(grid, entries, total)
 
 
@@ -227,65 +214,41 @@ def _budget(entries: DataFrame, grid: Grid, probes: np.ndarray, target: float, k
     return int(min(total, max(LEAST_BUDGET, np.quantile(needed, target) if needed else 0)))
 
 
-def routed(index: Index, asking: DataFrame | None = None, least: float = -1.0, entries: DataFrame | None = None, extra: str = "", whole: bool = False) -> DataFrame:
-    """Entries (kind 0) and queries (kind 1), by region: (region, kind, cell, vkey, x, cells, extra).
-
-    ``asking`` holds the query keys, all if None; ``entries`` may be a part of the index's
-    with one more column named ``extra`` of longs. With ``whole`` no budget ends a walk: a query
-    goes to every region with a cell that may hold a neighbour of similarity ``least``, without
-    the list of its cells, which ``by_region`` makes anew.
-    """
-    entries = index.entries if entries is None else entries
+def routed(index: Index, asking: DataFrame | None = None, least: float = -1.0) -> DataFrame:
+    """Entries (kind 0) and queries (kind 1), by region: (region, kind, cell, vkey, x, cells). ``asking`` holds the query keys, all if None."""
+    entries = index.entries
     entries = entries.withColumn("asks", F.lit(True)) if asking is None else entries.join(asking.select("vkey", F.lit(True).alias("asks")), "vkey", "left")
-    names = ["region", "kind", "cell", "vkey", "x", "cells", *([extra] if extra else [])]
+    names = ["region", "kind", "cell", "vkey", "x", "cells"]
     shared = index.entries.sparkSession.sparkContext.broadcast(index.grid)
 
-    def reached(grid: Grid, x: np.ndarray) -> Iterator[np.ndarray]:
-        occupied = np.flatnonzero(grid.counts)
-        occupied = occupied[grid.region[occupied].argsort(kind="stable")]
-        names, starts = np.unique(grid.region[occupied], return_index=True)
-        for at in range(0, len(x), 128):
-            for hit in np.logical_or.reduceat(grid.within(x[at : at + 128], occupied, least), starts, axis=1):
-                yield names[hit]
-
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grid = shared.value
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 pdf = batch.iloc[at : at + 2000]
-                more = list(zip(pdf[extra])) if extra else [()] * len(pdf)
                 home = grid.region[pdf["cell"].to_numpy()]
                 part = grid.base[home] + pdf["vkey"].to_numpy() % grid.parts[home]
-                out = [(r, 0, cell, vkey, v, None, *m) for r, vkey, v, cell, m in zip(part, pdf["vkey"], pdf["x"], pdf["cell"], more, strict=True)]
-                asks = pdf["asks"].notna().to_numpy()
-                pdf, more = pdf[asks], [m for m, a in zip(more, asks, strict=True) if a]
+                out = [(r, 0, cell, vkey, v, None) for r, vkey, v, cell in zip(part, pdf["vkey"], pdf["x"], pdf["cell"], strict=True)]
+                pdf = pdf[pdf["asks"].notna().to_numpy()]
                 x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 2), np.float32)
-                if whole and len(pdf):
-                    for vkey, v, cell, into, m in zip(pdf["vkey"], pdf["x"], pdf["cell"], reached(grid, x), more, strict=True):
-                        out += [(grid.base[r] + k, 1, cell, vkey, v, None, *m) for r in into for k in range(grid.parts[r])]
-                    pdf, more = pdf[:0], []
-                for vkey, v, cell, path, m in zip(pdf["vkey"], pdf["x"], pdf["cell"], grid.walk(x, None, least) if len(pdf) else (), more, strict=True):
+                for vkey, v, cell, path in zip(pdf["vkey"], pdf["x"], pdf["cell"], grid.walk(x, None, least) if len(pdf) else (), strict=True):
                     path = np.array(path, np.int32)
                     into = grid.region[path]
-                    out += [(grid.base[r] + k, 1, cell, vkey, v, path[into == r], *m) for r in np.unique(into) for k in range(grid.parts[r])]
+                    out += [(grid.base[r] + k, 1, cell, vkey, v, path[into == r]) for r in np.unique(into) for k in range(grid.parts[r])]
                 yield pd.DataFrame(out, columns=names)
 
-    return entries.mapInPandas(send, "region int, kind int, cell int, vkey long, x array<float>, cells array<int>" + (f", {extra} long" if extra else ""))
+    return entries.mapInPandas(send, "region int, kind int, cell int, vkey long, x array<float>, cells array<int>")
 
 
-def by_region(rows: DataFrame, match, schema: str, extra: tuple[str, ...] = (), whole: tuple[Grid, float] | None = None) -> DataFrame:
-    """Runs ``match(queries, x, entries, s)`` on every group of queries and the entries of the cells they walk.
+def by_region(rows: DataFrame, match, schema: str) -> DataFrame:
+    """Runs ``match(queries, x, entries, y)`` on every group of queries and the entries of the cells they walk.
 
-    ``whole`` is the grid and the least similarity of a whole pass.
-
-    ``queries`` and ``entries`` are frames with vkey and the extra columns, ``s`` their cosine
-    similarities. A region's entries are held in memory, its queries stream by.
+    ``queries`` and ``entries`` are frames with vkey, ``x`` and ``y`` their vectors. A region's
+    entries are held in memory, its queries stream by.
     """
     group = 128
-    shared = rows.sparkSession.sparkContext.broadcast(whole)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bound = shared.value
         current, held, entries, x, starts = None, [], None, None, {}
         waiting: list[pd.DataFrame] = []
 
@@ -297,7 +260,7 @@ def by_region(rows: DataFrame, match, schema: str, extra: tuple[str, ...] = (),
                 x = np.stack(entries["x"].to_numpy())
                 cells, first, n = np.unique(entries["cell"].to_numpy(), return_index=True, return_counts=True)
                 starts = {c: (a, a + m) for c, a, m in zip(cells.tolist(), first.tolist(), n.tolist(), strict=True)}
-                entries = entries[["vkey", "cell", *extra]]
+                entries = entries[["vkey"]]
 
         def flush() -> Iterator[pd.DataFrame]:
             queries = pd.concat(waiting, ignore_index=True) if waiting else None
@@ -307,11 +270,7 @@ def by_region(rows: DataFrame, match, schema: str, extra: tuple[str, ...] = (),
             for at in range(0, len(queries), group):
                 q = queries.iloc[at : at + group]
                 asked = np.stack(q["x"].to_numpy())
-                if bound:
-                    here = np.array(list(starts))
-                    cells = here[bound[0].within(asked, here, bound[1]).any(axis=0)].tolist()
-                else:
-                    cells = np.unique(np.concatenate(q["cells"].to_numpy())).tolist()
+                cells = np.unique(np.concatenate(q["cells"].to_numpy())).tolist()
                 spans = [starts[c] for c in cells if c in starts]
                 if not spans:
                     continue

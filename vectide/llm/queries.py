@@ -28,13 +28,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean": p1_clean,
     "p2_found": lambda s, d: splitting.oversized(t(s, d, "wiki_chunks")),
     "p2_pieces": p2_pieces,
+    "p4_method": lambda s, d: clustering.clusters(t(s, d, "wiki_vec")),
     "p4_found": lambda s, d: clustering.found(t(s, d, "wiki_vec")),
-    "p4_clusters": lambda s, d: clustering.clusters(t(s, d, "wiki_vec")),
     "p5_found": lambda s, d: quality.found(t(s, d, "wiki_chunks"), t(s, d, "common_words")),
     "p5_stats": lambda s, d: quality.stats(t(s, d, "wiki_chunks"), t(s, d, "common_words")),
     "p5_scores": p5_scores,
     "p6_found": lambda s, d: imi.found(t(s, d, "wiki_vec")),
-    "p6_neighbours": lambda s, d: imi.neighbours(t(s, d, "wiki_vec"), target=0.94, every=20),
+    "p6_neighbours": lambda s, d: imi.neighbours(t(s, d, "wiki_vec"), every=20),
     "p7_found": lambda s, d: neardup.found(t(s, d, "wiki_chunks")),
     "p7_groups": lambda s, d: neardup.groups(t(s, d, "wiki_chunks")),
     "p8_containers": lambda s, d: packing.pack(t(s, d, "documents")),
