@@ -101,3 +101,25 @@ def test_metric_axioms(rows):
         d = kernels.KERNELS[m]
         assert d(x, x) == 0 and d(x, y) == d(y, x) and d(x, z) <= d(x, y) + d(y, z) + 1e-6
     assert 0 <= kernels.cosine(x, y) <= 2 + 1e-9
+
+
+@pytest.mark.parametrize(
+    ("call", "value"),
+    [
+        ("vec_type('[1]')", "text"), ("vec_type(vec_f32('[1,2,3]'))", "float32"), ("vec_type(vec_int8(X'010203'))", "int8"), ("vec_type(vec_bit(X'FF00'))", "bit"),
+        ("vec_type(X'00')", "unknown"), ("vec_type(NULL)", None), ("vec_f32(NULL)", None), ("vec_int8(CAST(NULL AS STRING))", None), ("vec_type(vec_f32(CAST(NULL AS STRING)))", None),
+        ("hex(vec_int8('[200, -200, 50]').data)", "7F8032"), ("hex(vec_f32(X'0000803F').data)", "0000803F"), ("length(vec_f32(array(1D, 2D, 3D)).data)", 12),
+        ("vec_add(array(float(1), float(2)), '[1,1]')", "[2,3]"), ("vec_type(array(float(1)))", "float32"),
+    ],
+)
+def test_typed_values(sql, call, value):
+    assert sql(call) == value
+
+
+def test_arrays_and_mixed_sizes(spark, sql):
+    assert sql("vec_distance_l2(array(1, 2), array(4, 6))") == 5 and sql("vec_dims(array(1, 2))") == 2
+    rows = spark.createDataFrame([(1, "[3,0]", "[0,4]"), (2, "[1]", "[3]"), (3, None, "[1]"), (4, "[0,0]", "[3,4]")], "i int, a string, b string").coalesce(1)
+    got = {r["i"]: r["d"] for r in rows.select("i", F.expr("vec_distance_l2(a, b)").alias("d")).collect()}
+    assert got == {1: 5.0, 2: 2.0, 3: None, 4: 5.0}
+    with pytest.raises(Exception, match="input must be a BLOB"):
+        sql("vec_bit(NULL)")

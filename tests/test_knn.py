@@ -93,3 +93,21 @@ def test_graph_queries_beyond_one_block(spark, tmp_path, monkeypatch):
     got = QUERIES["ann_hnsw_topk"](spark, str(tmp_path)).groupBy("qid").count().collect()
     assert {x[:] for x in got} == {(i, 10) for i in range(0, 300, 20)}
     assert QUERIES["hnsw_recall"](spark, str(tmp_path)).first()[:] == (15, True)
+
+
+def test_many_queries_meet_the_corpus_by_a_shuffle(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    x = r.integers(-3, 4, size=(400, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "rowid long, vector array<float>").repartition(3)
+    asked = df.select(F.col("rowid").alias("qid"), "vector")
+    runs = []
+    for direct in (4, 0):
+        monkeypatch.setattr(K, "DIRECT", direct)
+        monkeypatch.setattr(K, "BLOCK", 64 if not direct else 4096)
+        near = {q[:] for q in K.batch_knn(df, asked, 3, "l2", skip_self=True).select("qid", "rowid", "rank").collect()}
+        close = {q[:] for q in K.similarity_join(df, asked, 2.0, "l2").select("qid", "rowid").collect()}
+        runs.append((near, close))
+    assert runs[0] == runs[1] and len(runs[0][0]) == 1200
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, 1e9)
+    assert runs[0][0] == {(i, int(j), k + 1) for i in range(400) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}

@@ -155,3 +155,45 @@ def test_recall_after_half_is_deleted_and_inserted_again(spark, tmp_path):
     found = t.match_indexed(asked, 10).collect()
     share = [len({f["rowid"] for f in found if f["qid"] == i} & set(ids[np.argsort(np.linalg.norm(now - q, axis=1))[:10]].tolist())) / 10 for i, q in asked]
     assert np.mean(share) >= 0.8 and t.count() == 500
+
+
+def test_deletes_are_tombstones_until_a_quarter_is_gone(spark, table):
+    first = list(table.state["data"])
+    table.delete([2])
+    assert table.state["data"] == first and len(table.state["gone"]) == 1 and table.count() == 7
+    table.update(frame(spark, [[4.0, 4.0, 4.0]], 3))
+    assert table.count() == 7 and table.point(3).first()["vector"] == [4.0, 4.0, 4.0]
+    table.insert(frame(spark, [[6.0, 6.0, 6.0]], 2))
+    assert table.point(2).first()["vector"] == [6.0, 6.0, 6.0] and table.scan().count() == table.count() == 8
+    table.delete([1, 4, 5])
+    assert table.state["gone"] == [] and table.state["data"] != first and sorted(r["rowid"] for r in table.scan().collect()) == [2, 3, 6, 7, 8]
+    table.vacuum()
+    assert table.scan().count() == table.count() == 5
+
+
+def test_an_update_names_an_id_once(spark, table):
+    with pytest.raises(ValueError, match="named twice"):
+        table.update(spark.createDataFrame([(2, [4.0, 4.0, 4.0]), (2, [5.0, 5.0, 5.0])], "rowid long, vector array<float>"))
+    assert table.count() == 8 and table.scan().count() == 8
+    table.update(frame(spark, [[9.0, 9.0, 9.0]], 77))
+    assert table.count() == 8 and table.point(77).isEmpty()
+
+
+def test_search_branches(spark, table, tmp_path):
+    q = [0.0, 0.0, 0.0]
+    table.optimize()
+    for mode in ("exact", "graph"):
+        want = [r["rowid"] for r in run(table, Request(query=q, k=3, mode=mode)).collect()]
+        for ef in (-5, 0, "bad", True):
+            assert [r["rowid"] for r in run(table, Request(query=q, k=3, mode=mode, ef_search=ef)).collect()] == want
+        got = run(table, Request(query=q, k=3, mode=mode, prefilter=F.col("rowid") > 5)).collect()
+        assert [r["rowid"] for r in got] == [6, 7, 8] or {r["rowid"] for r in got} <= {6, 7, 8} and len(got) == 3
+    cosine = VectorTable.create(spark, str(tmp_path / "c"), "dims=3", "metric=cosine")
+    cosine.insert(frame(spark, CUBE))
+    register_search(spark, "zero", cosine)
+    rows = spark.sql("SELECT * FROM vec_search_zero(array(float(1), float(0), float(0)), 8)").collect()
+    assert len(rows) == 8 and {r["rowid"]: r["distance"] for r in rows}[1] == 1.0
+    hamming = VectorTable.create(spark, str(tmp_path / "h"), "dims=3", "metric=hamming", "type=bit")
+    hamming.insert(frame(spark, CUBE))
+    register_search(spark, "bits", hamming)
+    assert [r[:] for r in spark.sql("SELECT * FROM vec_search_bits(X'E0', 2)").collect()] == [(8, 0.0), (4, 1.0)]

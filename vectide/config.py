@@ -79,6 +79,11 @@ class VecConfig:
         return [(k, str(v)) for k, v in asdict(self).items()]
 
 
+def check_ef(ef: object, default: int) -> int:
+    """The beam of a search: a positive whole number, else the table's own."""
+    return ef if isinstance(ef, int) and not isinstance(ef, bool) and ef > 0 else default
+
+
 def check_k(k: int | None, ef_search: int) -> int:
     """How many neighbours a query returns: k, or ``ef_search`` where k is absent or not positive."""
     if k is not None and k > MAX_K:

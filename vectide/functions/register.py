@@ -1,7 +1,9 @@
-"""SQL names of the vector functions, as Arrow functions over vector texts and blobs.
+"""SQL names of the vector functions, as Arrow functions over vectors and blobs.
 
-``register(spark)`` makes all of them known to ``spark.sql``. Typed blobs carry their type as
-a struct ``(kind, data)``. Null gives null, but for ``vec_bit``, which wants a blob.
+``register(spark)`` makes all of them known to ``spark.sql``. A vector is a text or an array of
+numbers; a batch of equally long vectors is computed as one block. Typed blobs carry their
+type as a struct ``(kind, data)``. Null gives null, but for ``vec_bit``, which wants a blob.
+For arrays within DataFrames ``native`` has the same functions as plain column expressions.
 """
 
 from __future__ import annotations
@@ -10,12 +12,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession, functions as F
 
 from . import kernels
 from .parse import VectorError, format_vec, parse_f32, parse_i8
 
 BLOB = "kind string, data binary"
+_STRUCT = pa.struct([("kind", pa.string()), ("data", pa.binary())])
+
+
+def _vector(x: object, parse: Callable = parse_f32) -> np.ndarray:
+    """A text parsed, an array as it is; a blob isn't a vector."""
+    if isinstance(x, str):
+        return parse(x)
+    if isinstance(x, (bytes, bytearray, dict)):
+        raise VectorError("vec: expected a text or an array, got a blob")
+    return np.asarray(x, np.int8 if parse is parse_i8 else np.float32)
 
 
 def _each(f: Callable, *columns: pd.Series) -> pd.Series:
@@ -23,16 +36,26 @@ def _each(f: Callable, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if any(x is None for x in row) else f(*row) for row in zip(*columns, strict=True)], dtype=object)
 
 
-def _pair(name: str, a: str, b: str, parse: Callable = parse_f32) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for place, text in (("first", a), ("second", b)):
-        try:
-            out.append(parse(text))
-        except VectorError as e:
-            raise VectorError(f"{name}: invalid {place} vector: {e}") from None
-    if len(out[0]) != len(out[1]):
-        raise VectorError(f"{name}: dimension mismatch")
-    return out[0], out[1]
+def _pairs(name: str, a: pd.Series, b: pd.Series, f: Callable, parse: Callable = parse_f32) -> list:
+    """``f`` of blocks of rows of one vector size, in the order of the rows; None where a side is null."""
+    sides: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for k, row in enumerate(zip(a, b, strict=True)):
+        if row[0] is None or row[1] is None:
+            continue
+        made = []
+        for place, x in zip(("first", "second"), row, strict=True):
+            try:
+                made.append(_vector(x, parse))
+            except VectorError as e:
+                raise VectorError(f"{name}: invalid {place} vector: {e}") from None
+        if len(made[0]) != len(made[1]):
+            raise VectorError(f"{name}: dimension mismatch")
+        sides.setdefault(len(made[0]), []).append((k, *made))
+    out: list = [None] * len(a)
+    for rows in sides.values():
+        for k, value in zip([r[0] for r in rows], f(np.stack([r[1] for r in rows]), np.stack([r[2] for r in rows])), strict=True):
+            out[k] = value
+    return out
 
 
 def normalized(v: np.ndarray) -> np.ndarray:
@@ -56,28 +79,39 @@ def bit_blobs(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
 
 
-def int8_blob(text: str) -> bytes:
+def int8_blob(v: np.ndarray) -> bytes:
     """Clamped, then cut toward zero."""
-    return np.trunc(np.clip(parse_f32(text), -128, 127)).astype(np.int8).tobytes()
+    return np.trunc(np.clip(v, -128, 127)).astype(np.int8).tobytes()
+
+
+def _tagged(kind: str, v: pa.Array, encode: Callable[[np.ndarray], bytes] | None) -> pa.Array:
+    """Typed blobs: a blob is only tagged, a vector encoded, null stays null."""
+    data = []
+    for x in v.to_pylist():
+        if encode is None and not isinstance(x, bytes):
+            raise VectorError("vec_bit: input must be a BLOB")
+        data.append(x if x is None or isinstance(x, bytes) else encode(_vector(x)))
+    kinds = pa.array([kind] * len(data), pa.string())
+    return pa.StructArray.from_arrays([kinds, pa.array(data, pa.binary())], fields=list(_STRUCT), mask=pa.array([x is None for x in data], pa.bool_()))
 
 
 def scalar_udfs() -> dict[str, object]:
     """All functions by SQL name."""
     out: dict[str, object] = {}
 
-    def text_distance(metric: str, parse: Callable, name: str):
+    def vector_distance(metric: str, parse: Callable, name: str):
         kernel = kernels.KERNELS[metric]
 
         @F.pandas_udf("double")
         def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return _each(lambda x, y: float(kernel(*_pair("vec_distance", x, y, parse))), a, b).astype("Float64")
+            return pd.Series(_pairs("vec_distance", a, b, lambda x, y: kernel(x, y).tolist(), parse), dtype="Float64")
 
         out[name] = run
 
     for m in ("l2", "cosine", "ip", "l1", "hamming", "jaccard"):
-        text_distance(m, parse_f32, f"vec_distance_{m}")
+        vector_distance(m, parse_f32, f"vec_distance_{m}")
     for m in ("l2", "cosine", "ip", "l1"):
-        text_distance(m, parse_i8, f"vec_distance_{m}_i8")
+        vector_distance(m, parse_i8, f"vec_distance_{m}_i8")
 
     def bit_distance(metric: str):
         kernel = kernels.KERNELS[metric]
@@ -93,54 +127,61 @@ def scalar_udfs() -> dict[str, object]:
 
     @F.pandas_udf("string")
     def vec(v: pd.Series) -> pd.Series:
-        return _each(lambda x: format_vec(parse_f32(x)), v)
+        return _each(lambda x: format_vec(_vector(x)), v)
 
     @F.pandas_udf("int")
     def vec_dims(v: pd.Series) -> pd.Series:
-        return _each(lambda x: len(parse_f32(x)), v).astype("Int32")
+        return _each(lambda x: len(_vector(x)), v).astype("Int32")
 
     @F.pandas_udf("double")
     def vec_norm(v: pd.Series) -> pd.Series:
-        return _each(lambda x: float(np.sqrt((parse_f32(x).astype(np.float64) ** 2).sum())), v).astype("Float64")
+        return _each(lambda x: float(np.sqrt((_vector(x).astype(np.float64) ** 2).sum())), v).astype("Float64")
 
     @F.pandas_udf("string")
     def vec_add(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _each(lambda x, y: format_vec(np.add(*_pair("vec_add", x, y))), a, b)
+        return pd.Series(_pairs("vec_add", a, b, lambda x, y: map(format_vec, x + y)), dtype=object)
 
     @F.pandas_udf("string")
     def vec_sub(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _each(lambda x, y: format_vec(np.subtract(*_pair("vec_sub", x, y))), a, b)
+        return pd.Series(_pairs("vec_sub", a, b, lambda x, y: map(format_vec, x - y)), dtype=object)
 
     @F.pandas_udf("string")
     def vec_normalize(v: pd.Series) -> pd.Series:
-        return _each(lambda x: format_vec(normalized(parse_f32(x))), v)
+        return _each(lambda x: format_vec(normalized(_vector(x))), v)
 
     @F.pandas_udf("string")
     def vec_slice(v: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
         whole = [0 if pd.isna(x) else int(x) for x in start], [0 if pd.isna(x) else int(x) for x in end]
-        return pd.Series([None if x is None else format_vec(sliced(parse_f32(x), s, e)) for x, s, e in zip(v, *whole, strict=True)], dtype=object)
+        return pd.Series([None if x is None else format_vec(sliced(_vector(x), s, e)) for x, s, e in zip(v, *whole, strict=True)], dtype=object)
+
+    @F.arrow_udf(BLOB)
+    def vec_f32(v: pa.Array) -> pa.Array:
+        return _tagged("float32", v, lambda x: x.tobytes())
 
-    @F.pandas_udf(BLOB)
-    def vec_f32(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"kind": "float32", "data": _each(lambda x: parse_f32(x).tobytes(), v)}, index=v.index)
+    @F.arrow_udf(BLOB)
+    def vec_int8(v: pa.Array) -> pa.Array:
+        return _tagged("int8", v, int8_blob)
 
-    @F.pandas_udf(BLOB)
-    def vec_int8(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"kind": "int8", "data": _each(int8_blob, v)}, index=v.index)
+    @F.arrow_udf(BLOB)
+    def vec_bit(v: pa.Array) -> pa.Array:
+        return _tagged("bit", v, None)
 
-    @F.pandas_udf(BLOB)
-    def vec_bit(v: pd.Series) -> pd.DataFrame:
-        if v.isna().any():
-            raise VectorError("vec_bit: argument must be a blob")
-        return pd.DataFrame({"kind": "bit", "data": v}, index=v.index)
+    @F.arrow_udf("string")
+    def vec_type(v: pa.Array) -> pa.Array:
+        kind = v.type
+        if pa.types.is_struct(kind) and kind.get_field_index("kind") >= 0:
+            return pa.array([x and x["kind"] for x in v.to_pylist()], pa.string())
+        name = "text" if pa.types.is_string(kind) or pa.types.is_large_string(kind) else "unknown"
+        if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+            name = {"float": "float32", "int8": "int8"}.get(str(kind.value_type), "unknown")
+        return pa.array([None if gone else name for gone in v.is_null().to_pylist()], pa.string())
 
-    return out | {f.__name__: f for f in (vec, vec_dims, vec_norm, vec_add, vec_sub, vec_normalize, vec_slice, vec_f32, vec_int8, vec_bit)}
+    return out | {f.__name__: f for f in (vec, vec_dims, vec_norm, vec_add, vec_sub, vec_normalize, vec_slice, vec_f32, vec_int8, vec_bit, vec_type)}
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Makes every function known under its SQL name, ``vec_type`` (of a typed blob) included."""
+    """Makes every function known under its SQL name."""
     made = scalar_udfs()
     for name, f in made.items():
         spark.udf.register(name, f)
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION vec_type(v STRUCT<{BLOB.replace(' ', ': ', 1).replace(', data ', ', data: ')}>) RETURNS STRING RETURN coalesce(v.kind, 'unknown')")
-    return [*made, "vec_type"]
+    return list(made)

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import VecConfig, check_k, check_metric
+from ..config import VecConfig, check_ef, check_k, check_metric
 from ..functions.kernels import KERNELS, store
 
 SHARD_ROWS, LEAST_ROWS = 20_000, 250
@@ -151,7 +151,8 @@ def layers(built: DataFrame) -> DataFrame:
 
 def search(rows: DataFrame, built: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, config: VecConfig, shards: int, ef: int | None = None, metric: str | None = None, key: str = "rowid", vector: str = "vector") -> DataFrame:
     """(qid, rowid, distance) of the k nearest found for each query. ``metric`` overrides the table's while walking its graph."""
-    ef, k = ef or config.ef_search, check_k(k, ef or config.ef_search)
+    ef = check_ef(ef, config.ef_search)
+    k = check_k(k, ef)
     measure = check_metric(metric, config.type) if metric else config.metric
     block = [(int(i), np.asarray(q, np.float32)) for i, q in queries]
     shared = rows.sparkSession.sparkContext.broadcast(block)

@@ -2,8 +2,8 @@
 
 The corpus is scanned once with two columns (id, vector) as Arrow batches; each task keeps
 its own k best per query, so what leaves a task is k rows a query, whatever the corpus size.
-The query block is broadcast behind a check of its size; a larger set of queries is cut into
-blocks that are matched one after another. Ties go to the smaller id. Pairs are never listed:
+A few blocks of queries are broadcast behind a check of their size; a larger set is spread by
+a shuffle. Ties go to the smaller id. Pairs are never listed:
 a similarity join against a corpus keeps only pairs within its threshold.
 
 Null vectors are no candidates; a query of another size than the corpus is an error; a null
@@ -13,6 +13,7 @@ query returns no rows. Extra columns may be carried along with ``keep``.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ from ..functions.kernels import KERNELS, pairwise
 #: Queries of one broadcast block, and elements of one: 4096 * 8192 floats are 128 MB.
 BLOCK = 4096
 BLOCK_ELEMENTS = 1 << 25
+#: So many blocks of queries are broadcast; more are grouped by a shuffle. Pairs of one matrix product.
+DIRECT, PAIRS = 4, 1 << 22
+#: The id of a neighbour that is missing.
+NONE = np.iinfo(np.int64).max
 
 
 def vectors_of(batch: pa.RecordBatch, dims: int, column: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -121,66 +126,135 @@ def query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np
         yield np.array(ids, np.int64), np.stack(rows)
 
 
+def _nearest_of_each(d: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest distances of each row with their ids, ties by id; missing ones have id ``NONE``."""
+    d = np.where(np.isnan(d), np.inf, d)
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+    r, c = np.nonzero(d <= edge)
+    order = np.lexsort((i[r, c], d[r, c], r))
+    r, c = r[order], c[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    r, c, rank = r[rank < k], c[rank < k], rank[rank < k]
+    best_d, best_i = np.full((len(d), k), np.inf), np.full((len(d), k), NONE)
+    best_d[r, rank], best_i[r, rank] = d[r, c], i[r, c]
+    return best_d, best_i
+
+
+class _Nearest:
+    """The k nearest corpus rows of each query of a block."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, metric: str, k: int, skip_self: bool) -> None:
+        self.qid, self.q, self.metric, self.k, self.skip_self = qid, q, metric, k, skip_self
+        self.d, self.i = np.full((len(qid), k), np.inf), np.full((len(qid), k), NONE)
+
+    def see(self, ids: np.ndarray, x: np.ndarray) -> None:
+        d, i = pairwise(self.metric, self.q, x), np.broadcast_to(ids[None, :], (len(self.qid), len(ids)))
+        if self.skip_self:
+            own = self.qid[:, None] == i
+            d, i = np.where(own, np.inf, d), np.where(own, NONE, i)
+        self.d, self.i = _nearest_of_each(np.concatenate([self.d, d], axis=1), np.concatenate([self.i, i], axis=1), self.k)
+
+    def end(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, c = np.nonzero(self.i != NONE)
+        return self.qid[r], self.i[r, c], self.d[r, c]
+
+
+class _Within:
+    """The corpus rows within a radius of each query of a block."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, metric: str, radius: float) -> None:
+        self.qid, self.q, self.metric, self.radius = qid, q, metric, radius
+
+    def see(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        d = pairwise(self.metric, self.q, x)
+        r, c = np.nonzero(d <= self.radius)
+        return self.qid[r], ids[c], d[r, c]
+
+    def end(self) -> None:
+        return None
+
+
+def _against(corpus: DataFrame, queries: DataFrame, make, key: str, vector: str, query_key: str, query_vector: str) -> DataFrame:
+    """(query_key, key, distance) rows that ``make(qid, q)`` gives for blocks of queries and all corpus rows.
+
+    Up to ``DIRECT`` blocks are broadcast one after another, each with a scan of the corpus.
+    More are grouped by a shuffle: a task holds one block of queries and streams a slice of
+    the corpus past it, so no query goes through the driver.
+    """
+    spark = corpus.sparkSession
+    schema = f"{query_key} long, {key} long, distance double"
+    asked = queries.select(F.col(query_key).cast("long").alias("id"), F.col(query_vector).alias("v")).where("v is not null")
+    rows = corpus.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
+    names = [query_key, key, "distance"]
+
+    def stream(held, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, PAIRS // max(len(held.qid), 1))
+        for lo in range(0, len(ids), step):
+            got = held.see(ids[lo : lo + step], x[lo : lo + step])
+            if got is not None:
+                yield pa.record_batch([pa.array(c) for c in got], names=names)
+
+    def finish(held) -> Iterator[pa.RecordBatch]:
+        if held is not None and (got := held.end()) is not None:
+            yield pa.record_batch([pa.array(c) for c in got], names=names)
+
+    n = asked.count()
+    if n <= DIRECT * BLOCK:
+        every = None
+        for block in query_blocks(asked, "id", "v"):
+            shared = spark.sparkContext.broadcast(block)
+
+            def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                held = make(*shared.value)
+                for batch in batches:
+                    ids, x = vectors_of(batch, held.q.shape[1])
+                    yield from stream(held, ids.astype(np.int64), x)
+                yield from finish(held)
+
+            part = rows.mapInArrow(scan, schema)
+            every = part if every is None else every.unionByName(part)
+        return spark.createDataFrame([], schema) if every is None else every
+    groups = -(-n // BLOCK)
+    slices = max(1, -(-2 * spark.sparkContext.defaultParallelism // groups))
+    block = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    ours = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), "id", "v").select((block * slices + F.col("s")).alias("part"), F.lit(0).alias("kind"), "id", "v")
+    theirs = rows.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "v").select((F.col("g") * slices + F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).alias("part"), F.lit(1).alias("kind"), "id", "v")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, waiting = None, None, []
+        for batch in batches:
+            tags = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), len(tags)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if tags[a] // 2 != current:
+                    yield from finish(held)
+                    current, held, waiting = tags[a] // 2, None, []
+                piece = batch.slice(a, b - a).select([2, 3])
+                if tags[a] % 2 == 0:
+                    waiting.append(piece)
+                    continue
+                if waiting:
+                    first = waiting[0].column(1)[0].as_py()
+                    parts = [vectors_of(w, len(first)) for w in waiting]
+                    held, waiting = make(np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts])), []
+                if held is not None:
+                    ids, x = vectors_of(piece, held.q.shape[1])
+                    yield from stream(held, ids.astype(np.int64), x)
+        yield from finish(held)
+
+    return ours.unionByName(theirs).repartitionById(groups * slices, "part").sortWithinPartitions("part", "kind").mapInArrow(meet, schema)
+
+
 def batch_knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "rowid", vector: str = "vector", query_key: str = "qid", query_vector: str = "vector", skip_self: bool = False) -> DataFrame:
-    """(query_key, key, distance, rank) of the k nearest rows of every query, by a pass over the corpus per block of queries."""
+    """(query_key, key, distance, rank) of the k nearest rows of every query."""
     k, metric = check_k(k, 10), metric_name(metric)
-    schema = f"{query_key} long, {key} long, distance double"
-    spark, parts = corpus.sparkSession, []
-    for ids, block in query_blocks(queries, query_key, query_vector):
-        shared = spark.sparkContext.broadcast((ids, block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(qid)
-            for batch in batches:
-                own, x = vectors_of(batch, q.shape[1])
-                own = own.astype(np.int64)
-                for lo in range(0, len(own), 8192):
-                    d = pairwise(metric, q, x[lo : lo + 8192])
-                    i = own[lo : lo + 8192]
-                    if skip_self:
-                        d = np.where(qid[:, None] == i[None, :], np.inf, d)
-                    for r in range(len(qid)):
-                        dd, ii = np.concatenate([best[r][0], d[r]]), np.concatenate([best[r][1], i])
-                        at = _best(dd, ii, k)
-                        best[r] = dd[at], ii[at]
-            n = [int(np.isfinite(d).sum()) if skip_self else len(d) for d, _ in best]
-            yield pa.record_batch(
-                [pa.array(np.repeat(qid, n)), pa.array(np.concatenate([i[:c] for (_, i), c in zip(best, n, strict=True)])), pa.array(np.concatenate([d[:c] for (d, _), c in zip(best, n, strict=True)]))],
-                names=[query_key, key, "distance"],
-            )
-
-        parts.append(corpus.select(F.col(key).cast("long").alias(key), vector).mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    near = _against(corpus, queries, partial(_Nearest, metric=metric, k=k, skip_self=skip_self), key, vector, query_key, query_vector)
     w = Window.partitionBy(query_key).orderBy("distance", key)
-    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def similarity_join(corpus: DataFrame, queries: DataFrame, radius: float, metric: str = "cosine", key: str = "rowid", vector: str = "vector", query_key: str = "qid", query_vector: str = "vector") -> DataFrame:
-    """(query_key, key, distance) of all pairs within ``radius``, blocks of queries against the scanned corpus."""
-    metric = metric_name(metric)
-    schema = f"{query_key} long, {key} long, distance double"
-    spark, parts = corpus.sparkSession, []
-    for ids, block in query_blocks(queries, query_key, query_vector):
-        shared = spark.sparkContext.broadcast((ids, block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            for batch in batches:
-                own, x = vectors_of(batch, q.shape[1])
-                for lo in range(0, len(own), 8192):
-                    d = pairwise(metric, q, x[lo : lo + 8192])
-                    r, c = np.nonzero(d <= radius)
-                    yield pa.record_batch([pa.array(qid[r]), pa.array(own[lo : lo + 8192][c].astype(np.int64)), pa.array(d[r, c])], names=[query_key, key, "distance"])
-
-        parts.append(corpus.select(F.col(key).cast("long").alias(key), vector).mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every
+    """(query_key, key, distance) of all pairs within ``radius``."""
+    return _against(corpus, queries, partial(_Within, metric=metric_name(metric), radius=radius), key, vector, query_key, query_vector)

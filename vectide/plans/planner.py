@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..config import check_k
+from ..config import check_ef, check_k
 from ..functions.parse import parse_f32
+from ..functions.register import register
 from ..operators.knn import threshold
 from ..sources.table import VectorTable
 
@@ -34,11 +35,13 @@ class Request:
 
 
 def path(table: VectorTable, r: Request) -> str:
-    """``exact``, ``graph``, ``point`` or ``scan``. A search goes before an id, an id before a scan."""
+    """``exact``, ``graph``, ``point`` or ``scan``. A search goes before an id, an id before a scan; filtered rows are searched exactly, whatever the mode."""
     if r.matched or r.query is not None:
+        if r.prefilter is not None:
+            return "exact"
         if r.mode in ("exact", "graph"):
             return r.mode
-        return "graph" if table.count() >= GRAPH_FROM and r.prefilter is None and table.state["graph"] is not None else "exact"
+        return "graph" if table.count() >= GRAPH_FROM and table.state["graph"] is not None else "exact"
     return "point" if r.rowid is not None else "scan"
 
 
@@ -64,7 +67,7 @@ def explain(table: VectorTable, r: Request) -> str:
     way = path(table, r)
     if way in ("scan", "point"):
         return way + (f" rowid={r.rowid}" if way == "point" else "")
-    ef = r.ef_search if isinstance(r.ef_search, int) and r.ef_search > 0 else table.config.ef_search
+    ef = check_ef(r.ef_search, table.config.ef_search)
     bounds = [f"{n}={v}" for n, v in (("above", r.above), ("below", r.below)) if v is not None]
     return " ".join([way, f"metric={r.metric or table.config.metric}", f"k={check_k(r.k, ef)}", f"ef_search={ef}", *(["prefilter"] if r.prefilter is not None else []), *(["then", *bounds] if bounds else [])])
 
@@ -72,19 +75,23 @@ def explain(table: VectorTable, r: Request) -> str:
 def register_search(spark: SparkSession, name: str, table: VectorTable, prefix: str = "vec") -> None:
     """Makes ``vec_search_<name>(query, k)`` known to SQL: a table function of (rowid, distance).
 
-    It inlines to a sort of native distances over the table's view, so the optimizer sees it whole.
+    It inlines to a sort of distances over the table's view, so the optimizer sees it whole;
+    the bit metrics go through their Arrow functions. The query of a bit table is a blob.
     """
     table.stored().createOrReplaceTempView(f"{prefix}_{name}_rows")
-    metric = table.config.metric
+    metric, bits = table.config.metric, table.config.type == "bit"
+    own, theirs = (f"sqrt(aggregate({v}, 0D, (s, e) -> s + double(e) * double(e)))" for v in ("vector", "q"))
     body = {
         "l2": "sqrt(aggregate(zip_with(vector, q, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, e) -> s + e))",
         "ip": "-aggregate(zip_with(vector, q, (x, y) -> double(x) * double(y)), 0D, (s, e) -> s + e)",
         "l1": "aggregate(zip_with(vector, q, (x, y) -> abs(double(x) - double(y))), 0D, (s, e) -> s + e)",
-        "cosine": "greatest(0D, 1 - aggregate(zip_with(vector, q, (x, y) -> double(x) * double(y)), 0D, (s, e) -> s + e) / (sqrt(aggregate(vector, 0D, (s, e) -> s + double(e) * double(e))) * sqrt(aggregate(q, 0D, (s, e) -> s + double(e) * double(e)))))",
+        "cosine": f"CASE WHEN {own} = 0 AND {theirs} = 0 THEN 0D WHEN {own} = 0 OR {theirs} = 0 THEN 1D ELSE greatest(0D, 1 - aggregate(zip_with(vector, q, (x, y) -> double(x) * double(y)), 0D, (s, e) -> s + e) / ({own} * {theirs})) END",
+        "hamming": f"vec_distance_hamming{'_bit' * bits}(vector, q)",
+        "jaccard": f"vec_distance_jaccard{'_bit' * bits}(vector, q)",
     }
-    if metric not in body:
-        raise ValueError(f"vec0: no SQL search for metric '{metric}'")
+    if metric in ("hamming", "jaccard"):
+        register(spark)
     spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_search_{name}(q ARRAY<FLOAT>, k INT) RETURNS TABLE (rowid BIGINT, distance DOUBLE) "
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_search_{name}(q {'BINARY' if bits else 'ARRAY<FLOAT>'}, k INT) RETURNS TABLE (rowid BIGINT, distance DOUBLE) "
         f"RETURN SELECT rowid, distance FROM (SELECT rowid, distance, row_number() OVER (ORDER BY distance, rowid) AS n FROM (SELECT rowid, {body[metric]} AS distance FROM {prefix}_{name}_rows)) WHERE n <= k"
     )

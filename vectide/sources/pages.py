@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_SCHEMA = "id string, ns string, title string, redirect string, revision struct<text: struct<_VALUE: string>>"
-
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, title, text) of a page dump (XML, plain or compressed): articles that aren't redirects and hold text."""

@@ -4,6 +4,10 @@ A table is a directory: ``manifest.json`` names the files of the current version
 change writes new Parquet folders first and then replaces the manifest in one step, so a
 reader keeps the version it opened and a failed write changes nothing. One writer at a time.
 
+A delete writes only the ids that go, as a folder of tombstones that counts for the data
+written before it; an update is a delete and an append. ``compact`` writes the live rows
+anew, by itself once a quarter of all rows has gone.
+
 Rows are (rowid, vector) in their storage type; ids given on insert are kept (a duplicate is
 an error), others follow the greatest so far. The index, if any, is the sharded graph of
 ``operators.hnsw``; a change marks the shards it touches and the next ``optimize`` or indexed
@@ -25,12 +29,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..config import VecConfig
+from ..config import VecConfig, check_ef
 from ..functions.kernels import store
 from ..functions.parse import format_vec, parse_f32
 from ..operators import hnsw
 from ..operators.knn import knn
 
+#: Share of gone rows beyond which a change writes the live rows anew.
+COMPACT = 0.25
 STORED = {"float32": T.ArrayType(T.FloatType(), False), "int8": T.ArrayType(T.ByteType(), False), "bit": T.BinaryType()}
 
 
@@ -70,7 +76,7 @@ class VectorTable:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, Path(path)
         self._pending: dict | None = None
-        self.manifest = json.loads((self.path / "manifest.json").read_text())
+        self.manifest = {"gone": [], "removed": 0} | json.loads((self.path / "manifest.json").read_text())
         self.config = VecConfig(**self.manifest["config"])
 
     # Declaration and lifecycle
@@ -83,7 +89,7 @@ class VectorTable:
         if (where / "manifest.json").exists():
             raise FileExistsError(f"vec0: table {where.name} already exists")
         where.mkdir(parents=True, exist_ok=True)
-        state = {"config": asdict(config), "data": [], "graph": None, "dirty": [], "shards": 1, "count": 0, "next_id": 1}
+        state = {"config": asdict(config), "data": [], "gone": [], "graph": None, "dirty": [], "shards": 1, "count": 0, "removed": 0, "next_id": 1}
         cls._write(where, state)
         return cls(spark, path)
 
@@ -143,7 +149,7 @@ class VectorTable:
 
     def refresh(self) -> None:
         """Sees what other writers have committed."""
-        self.manifest = json.loads((self.path / "manifest.json").read_text())
+        self.manifest = {"gone": [], "removed": 0} | json.loads((self.path / "manifest.json").read_text())
 
     def _store(self, df: DataFrame, kind: str) -> str:
         name = f"{kind}-{uuid.uuid4().hex}"
@@ -152,7 +158,7 @@ class VectorTable:
 
     def vacuum(self) -> None:
         """Removes folders that no committed version names."""
-        used = {*self.manifest["data"], self.manifest["graph"]}
+        used = {*self.manifest["data"], *(name for name, _ in self.manifest["gone"]), self.manifest["graph"]}
         for p in self.path.iterdir():
             if p.is_dir() and p.name not in used:
                 shutil.rmtree(p)
@@ -160,10 +166,21 @@ class VectorTable:
     # Reading
 
     def stored(self) -> DataFrame:
-        """(rowid, vector) in storage type."""
+        """(rowid, vector) in storage type, without the rows that are gone."""
         schema = T.StructType([T.StructField("rowid", T.LongType()), T.StructField("vector", STORED[self.config.type])])
-        names = self.state["data"]
-        return self.spark.read.schema(schema).parquet(*[str(self.path / n) for n in names]) if names else self.spark.createDataFrame([], schema)
+        data, gone = self.state["data"], self.state["gone"]
+        read = lambda names, s=schema: self.spark.read.schema(s).parquet(*[str(self.path / n) for n in names])
+        out, at = None, 0
+        # Data folders between two tombstones are read together; a tombstone counts for those before it.
+        for end in sorted({*(upto for _, upto in gone), len(data)}):
+            if end > at:
+                part = read(data[at:end])
+                marks = [name for name, upto in gone if upto >= end]
+                if marks:
+                    part = part.join(read(marks, "rowid long"), "rowid", "left_anti")
+                out = part if out is None else out.unionByName(part)
+            at = max(at, end)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def scan(self, text: bool = False) -> DataFrame:
         """(rowid, vector, distance) with null distances; vectors as texts if asked."""
@@ -194,7 +211,7 @@ class VectorTable:
         from ..config import check_metric
 
         measure = check_metric(metric, self.config.type) if metric else self.config.metric
-        ef = ef_search if isinstance(ef_search, int) and ef_search > 0 else self.config.ef_search
+        ef = check_ef(ef_search, self.config.ef_search)
         return knn(self.stored(), self.query_block(query), k, measure, prefilter=prefilter, ef_search=ef)
 
     def match_indexed(self, queries: Sequence[tuple[int, Sequence[float]]], k: int | None = None, ef_search: int | None = None, metric: str | None = None) -> DataFrame:
@@ -223,7 +240,9 @@ class VectorTable:
             name = self._store(encode(fresh, self.config), "data")
             added = self.spark.read.parquet(str(self.path / name))
             n, top, ids = added.agg(F.count("*"), F.max("rowid"), F.count_distinct("rowid")).first()
-            if ids != n or (state["data"] and not added.join(self.stored().select("rowid"), "rowid", "left_semi").isEmpty()):
+            # Ids from next_id on are new; only smaller ones are looked up.
+            low = added.where(F.col("rowid") < state["next_id"])
+            if ids != n or (state["count"] and not low.isEmpty() and not low.join(self.stored().select("rowid"), "rowid", "left_semi").isEmpty()):
                 shutil.rmtree(self.path / name)
                 raise ValueError("vec0: rowid already exists")
             state["data"].append(name)
@@ -236,31 +255,50 @@ class VectorTable:
         with self._change() as state:
             rows = self.stored()
             if ids is None and where is None:
-                state |= {"data": [], "count": 0, "graph": None, "dirty": []}
+                state |= {"data": [], "gone": [], "count": 0, "removed": 0, "graph": None, "dirty": []}
                 return
-            gone = rows.where(where).select("rowid") if where is not None else self._ids(ids)
-            self._touch(state, rows.join(gone, "rowid", "left_semi"))
-            self._replace(state, rows.join(gone, "rowid", "left_anti"))
+            chosen = rows.where(where) if where is not None else rows.join(self._ids(ids), "rowid", "left_semi")
+            self._bury(state, chosen.select("rowid"))
+            self.compact(COMPACT)
 
     def update(self, changes: DataFrame) -> None:
-        """New vectors for ids of a (rowid, vector) frame; a ``new_rowid`` that differs is an error."""
+        """New vectors for ids of a (rowid, vector) frame; an id that isn't there is ignored, one named twice or a ``new_rowid`` that differs is an error."""
         if "new_rowid" in changes.columns and not changes.where("new_rowid <> rowid").isEmpty():
             raise ValueError("vec0: cannot change rowid")
         with self._change() as state:
-            rows = self.stored()
-            fresh = encode(changes.select(F.col("rowid").cast("long").alias("rowid"), "vector"), self.config).join(rows.select("rowid"), "rowid", "left_semi")
-            self._touch(state, fresh)
-            self._replace(state, rows.join(changes.select("rowid"), "rowid", "left_anti").unionByName(fresh))
+            known = self.stored().select("rowid")
+            fresh = encode(changes.select(F.col("rowid").cast("long").alias("rowid"), "vector"), self.config).join(known, "rowid", "left_semi")
+            name = self._store(fresh, "data")
+            written = self.spark.read.parquet(str(self.path / name))
+            n, ids = written.agg(F.count("*"), F.count_distinct("rowid")).first()
+            if n != ids:
+                shutil.rmtree(self.path / name)
+                raise ValueError("vec0: rowid named twice in an update")
+            self._bury(state, written.select("rowid"))
+            state["data"].append(name)
+            state["count"] += n
+            self.compact(COMPACT)
 
     def _ids(self, ids: DataFrame | Sequence[int]) -> DataFrame:
         if isinstance(ids, DataFrame):
             return ids.select(F.col("rowid").cast("long").alias("rowid"))
         return self.spark.createDataFrame([(int(i),) for i in ids], "rowid long")
 
-    def _replace(self, state: dict, rows: DataFrame) -> None:
-        name = self._store(rows.select("rowid", "vector"), "data")
-        state["data"] = [name]
-        state["count"] = self.spark.read.parquet(str(self.path / name)).count()
+    def _bury(self, state: dict, ids: DataFrame) -> None:
+        """Writes the ids of live rows as a tombstone for the data so far."""
+        name = self._store(ids, "gone")
+        marks = self.spark.read.parquet(str(self.path / name))
+        self._touch(state, marks)
+        n = marks.count()
+        state["gone"].append([name, len(state["data"])])
+        state["count"] -= n
+        state["removed"] += n
+
+    def compact(self, share: float = 0.0) -> None:
+        """Writes the live rows anew if more than ``share`` of all rows written is gone."""
+        with self._change() as state:
+            if state["removed"] and state["removed"] > share * (state["count"] + state["removed"]):
+                state["data"], state["gone"], state["removed"] = [self._store(self.stored(), "data")], [], 0
 
     def _touch(self, state: dict, rows: DataFrame) -> None:
         """Marks the shards of changed rows."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,8 +38,3 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str =
     """Rows per tumbling window and keys, with a watermark; works on streams and tables alike."""
     window = F.window(time, width)
     return events.withWatermark(time, late).groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *keys, "n")
-
-
-def state_row(name: str, value: object) -> dict[str, str]:
-    """A (key, value) row of pipeline state."""
-    return {"key": name, "value": value if isinstance(value, str) else json.dumps(value)}
