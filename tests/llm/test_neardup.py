@@ -52,7 +52,7 @@ def test_cases(spark):
     assert N.found(frame(spark, [])).count() == 0 and N.groups(frame(spark, [])).count() == 0
 
 
-def test_large_class_is_tied_by_its_first_id(spark):
+def test_copies_of_one_text_are_tied_by_the_first_id(spark):
     t = "the old wall by the wide river stands in the sun"
     n = N.EXPAND + 50
     rows = [(i, t) for i in range(n)] + [(n + 5, t + " today")]
@@ -62,17 +62,53 @@ def test_large_class_is_tied_by_its_first_id(spark):
     assert links[0] == links[7] and set(links.values()) <= {n - 1, n} and len(links) >= n
 
 
-def test_prefix_meets_the_target():
-    for t in (0.5, 0.6, 0.8, 0.9):
-        d = N.prefix_length(t)
-        assert N.recall(t, N.TREES, d) >= N.TARGET and (d == N.DEPTH or N.recall(t, N.TREES, d + 1) < N.TARGET)
+def test_a_large_class_keeps_links_between_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(N, "EXPAND", 6)
+    t = "the old wall by the wide river stands in the sun"
+    rows = [(i, t) for i in range(5)] + [(i, t.upper()) for i in range(5, 9)] + [(9, t + " today"), (10, t + "!")]
+    got = {r[:] for r in N.found(frame(spark, rows)).select("id_a", "id_b").collect()}
+    tied = {(0, i) for i in range(1, 5)} | {(5, i) for i in range(6, 9)}
+    assert got == tied | {(0, 5), (0, 10), (5, 10), (0, 9), (5, 9), (9, 10)}
+
+
+def test_prefixes_are_shortened_until_the_target():
+    assert N.prefix_length(0.8, {}) == N.DEPTH and N.prefix_length(0.5, {}) == 3
+    assert N.prefix_length(0.5, {8: 50}) == 4  # pairs that meet early outweigh what theory fears
+    assert N.prefix_length(0.5, {8: 4000}) > 4
+    assert N.prefix_length(0.5, {8: 500, 3: 20}) == 3 and N.prefix_length(0.5, {8: 500, 0: 20}) == 1
 
 
-def test_min_hashes_estimate_jaccard():
+def test_labels_are_tries():
     h = Hasher()
     a, b = shingles([f"a{i}" for i in range(300)], 3, h), shingles([f"a{i}" for i in range(100, 400)], 3, h)
     want = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert abs(np.equal(*N.prefixes([a, b], 512, 1)).mean() - want) < 0.08
+    x, y = N.labels([a, b], 2000)
+    for depth in (1, 2):
+        agree = ((x ^ y).view(np.uint64) >> np.uint64(N.below(depth)) == 0).mean()
+        assert abs(agree - want**depth) < 0.05
+    assert sum(N.BITS) == 64 and len(N.BITS) == N.DEPTH and N.level(x, x) == N.DEPTH
+
+
+def test_probes_find_all_similar_texts():
+    h = Hasher()
+    sets = [s for s in shingle_sets([words(t) for t in corpus(4)], 3, h) if len(s)]
+    probes = N.Probes(sets[:30], 0.5)
+    keys = N.set_keys(sets)
+    got = [len(x) for x in probes.levels(sets, keys, N.labels(sets))]
+    alike = [[keys[i] != keys[j] and len(np.intersect1d(x, y)) >= 0.5 * len(np.union1d(x, y)) for j, y in enumerate(sets[:30])] for i, x in enumerate(sets)]
+    assert got == [sum(a) for a in alike] and N.Probes([], 0.5).levels(sets, keys, N.labels(sets)) == [[]] * len(sets)
+
+
+def test_a_long_run_is_spread_in_blocks(spark, monkeypatch):
+    n, other = 1000, 40
+    rows = [(i, i, [7] * 2 + [1000 + i]) for i in range(n)] + [(n + i, n + i, [-5, 7 if i == 0 else 8, 5000 + i]) for i in range(other)]
+    df = spark.createDataFrame(rows, "id long, set_key long, keys array<long>").repartition(3)
+    whole = list(range(n + 1))
+    want = {(a, b) for a in whole for b in range(a + 1, n + 1)} | {(n + a, n + b) for a in range(other) for b in range(a + 1, other)}
+    for run in (32, 2048):
+        monkeypatch.setattr(N, "RUN", run)
+        got = [r[:] for r in N.meetings(df, N.DEPTH).select("a", "b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_batches_hash_as_single_texts():
