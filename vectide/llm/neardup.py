@@ -41,7 +41,7 @@ TREES, DEPTH, TARGET = 64, 8, 0.99
 #: Bits of a label that each min-hash takes, from the first to the last; together 64.
 BITS = (20, 16, 12, 10, 2, 2, 1, 1)
 #: Sample texts that measure the recall, and the weight of what theory says, in pairs.
-PROBES, PRIOR = 1024, 50
+PROBES, PRIOR = 512, 50
 #: Classes of one prefix that are paired in place; a longer run is spread in blocks of so many.
 RUN = 2048
 #: Above so many ids of one shingle set, ids of equal texts go through the smallest of them.
@@ -115,6 +115,8 @@ class Probes:
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         order = flat.argsort(kind="stable")
         self.shingles, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.some = np.zeros(1 << 22, bool)  # tells most shingles at once that no probe has them
+        self.some[flat & np.uint64((1 << 22) - 1)] = True
 
     def levels(self, own: list[np.ndarray], keys: list[int], made: np.ndarray) -> list[list[int]]:
         """For each set the level at which it meets each probe that is similar to it and of another class."""
@@ -122,6 +124,10 @@ class Probes:
         if not len(self.shingles) or not own:
             return out
         flat, doc = np.concatenate(own), np.repeat(np.arange(len(own)), [len(s) for s in own])
+        likely = self.some[flat & np.uint64((1 << 22) - 1)]
+        flat, doc = flat[likely], doc[likely]
+        if not len(flat):
+            return out
         lo, hi = np.searchsorted(self.shingles, flat, "left"), np.searchsorted(self.shingles, flat, "right")
         n = hi - lo
         hits = np.repeat(lo - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
