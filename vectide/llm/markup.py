@@ -6,8 +6,8 @@ around it, and labels every leaf with the whole leaf sequence of the document as
 The labels give the clean text and the structured blocks. Training is in ``markup_train``;
 the weights lie beside this file and are a fixed few tens of kilobytes.
 
-Every text is read whole: a sequence longer than ``SPAN`` leaves is labelled in spans that
-overlap by ``MARGIN`` leaves on either side, so memory is bounded for very long texts.
+Every text is read whole and every leaf is labelled with the whole document as context: a long
+sequence is computed ``SPAN`` leaves at a time, and both directions carry their state on.
 
 Results: a null text gives null, an empty one itself without blocks; a text without signs is
 returned unchanged; a text whose signs all stand for themselves is unchanged too. Repeated
@@ -33,7 +33,7 @@ from .markup_leaves import SHAPE_NAMES, Leaf, leaves
 LABELS = ("text", "literal", "heading", "list", "code", "formula", "table", "inline", "drop")
 TEXT, LITERAL, HEADING, LIST, CODE, FORMULA, TABLE, INLINE, DROP = range(9)
 WEIGHTS = "markup_weights.npz"
-SPAN, MARGIN = 1024, 64
+SPAN = 1024
 SHAPE_ID = {name: i for i, name in enumerate(SHAPE_NAMES)}
 PATHS, WORDS = 64, 512
 #: Character classes seen before and behind a leaf: edge, newline, blank, letter, digit, other.
@@ -106,11 +106,10 @@ def embed(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.concatenate([p[f"e{c}"][x[..., c]] for c, _, _ in EMBED], axis=-1)
 
 
-def scan(p: dict[str, np.ndarray], d: str, pre: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Hidden states of one direction over (time, batch, 4 * HIDDEN) inputs; masked steps keep the state."""
+def scan(p: dict[str, np.ndarray], d: str, pre: np.ndarray, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Hidden states of one direction over (time, batch, 4 * HIDDEN) inputs, and its last state; masked steps keep the state."""
     steps, batch = mask.shape
-    h = np.zeros((batch, HIDDEN), np.float32)
-    c = np.zeros((batch, HIDDEN), np.float32)
+    h, c = state or (np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32))
     out = np.zeros((steps, batch, HIDDEN), np.float32)
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
         z = pre[t] + h @ p[f"h{d}"]
@@ -120,15 +119,23 @@ def scan(p: dict[str, np.ndarray], d: str, pre: np.ndarray, mask: np.ndarray) ->
         c = np.where(on, new, c)
         h = np.where(on, gates[:, 2 * HIDDEN :] * np.tanh(c), h)
         out[t] = h
-    return out
+    return out, (h, c)
 
 
-def scores(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Label scores (time, batch, labels) of padded leaf rows (time, batch, features)."""
-    e = embed(p, x)
-    f = scan(p, "f", e @ p["xf"] + p["cf"], mask)
-    b = scan(p, "b", e @ p["xb"] + p["cb"], mask)
-    return np.concatenate([f, b, e], axis=-1) @ p["o"] + p["ob"]
+def best(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Labels (time, batch) of padded leaf rows (time, batch, features), ``SPAN`` steps at a time."""
+    spans = [slice(at, at + SPAN) for at in range(0, len(x), SPAN)]
+    back: list[np.ndarray] = []
+    state = None
+    for at in reversed(spans):
+        out, state = scan(p, "b", embed(p, x[at]) @ p["xb"] + p["cb"], mask[at], state)
+        back.append(out)
+    found, state = [], None
+    for at in spans:
+        e = embed(p, x[at])
+        front, state = scan(p, "f", e @ p["xf"] + p["cf"], mask[at], state)
+        found.append((np.concatenate([front, back.pop(), e], axis=-1) @ p["o"] + p["ob"]).argmax(axis=-1))
+    return np.concatenate(found)
 
 
 @lru_cache(maxsize=1)
@@ -138,28 +145,25 @@ def weights() -> dict[str, np.ndarray]:
 
 
 def label(rows: list[np.ndarray], p: dict[str, np.ndarray] | None = None) -> list[np.ndarray]:
-    """Labels of each document's leaves. Spans of like length are run together."""
+    """Labels of each document's leaves. Documents of like length are run together."""
     p = p or weights()
     out = [np.zeros(len(r), np.int8) for r in rows]
-    spans = [(k, lo, max(0, lo - MARGIN), min(len(r), lo + SPAN + MARGIN)) for k, r in enumerate(rows) for lo in range(0, len(r), SPAN)]
-    spans.sort(key=lambda s: s[3] - s[2])
+    order = sorted((k for k in range(len(rows)) if len(rows[k])), key=lambda k: len(rows[k]))
     i = 0
-    while i < len(spans):
-        longest = spans[i][3] - spans[i][2]
-        j = i
-        while j < len(spans) and j - i < 512 and spans[j][3] - spans[j][2] <= max(longest * 1.25, longest + 4) and (j - i) * (spans[j][3] - spans[j][2]) < 60_000:
+    while i < len(order):
+        longest = len(rows[order[i]])
+        j = i + 1
+        while j < len(order) and j - i < 512 and len(rows[order[j]]) <= max(longest * 1.25, longest + 4) and (j - i) * len(rows[order[j]]) < 60_000:
             j += 1
-        j = max(j, i + 1)
-        steps = spans[j - 1][3] - spans[j - 1][2]
+        steps = len(rows[order[j - 1]])
         x = np.zeros((steps, j - i, rows[0].shape[1]), np.int32)
         mask = np.zeros((steps, j - i), bool)
-        for b, (k, _, a, z) in enumerate(spans[i:j]):
-            x[: z - a, b] = rows[k][a:z]
-            mask[: z - a, b] = True
-        best = scores(p, x, mask).argmax(axis=-1)
-        for b, (k, lo, a, _) in enumerate(spans[i:j]):
-            hi = min(len(rows[k]), lo + SPAN)
-            out[k][lo:hi] = best[lo - a : hi - a, b]
+        for b, k in enumerate(order[i:j]):
+            x[: len(rows[k]), b] = rows[k]
+            mask[: len(rows[k]), b] = True
+        y = best(p, x, mask)
+        for b, k in enumerate(order[i:j]):
+            out[k][:] = y[: len(rows[k]), b]
         i = j
     return out
 
