@@ -90,7 +90,7 @@ def test_held_out_accuracy_of_the_shipped_weights():
 
 
 def test_training_learns():
-    p = markup_train.train(documents=600, epochs=6, seed=3, say=lambda _: None)
+    p = markup_train.train(documents=1500, epochs=8, seed=3, say=lambda _: None)
     leaf, _ = markup_train.accuracy(p, 120, seed=5)
     assert leaf > 0.75
 
