@@ -41,8 +41,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_fill": lambda s, d: packing.fill(packing.pack(t(s, d, "documents"))),
     "p9_found": lambda s, d: leakage.found(t(s, d, "documents"), t(s, d, "eval_items")),
     "p9_documents": lambda s, d: leakage.documents_touched(t(s, d, "documents"), t(s, d, "eval_items")),
-    "p10_found": lambda s, d: truncation.found(t(s, d, "documents")),
-    "p10_rates": lambda s, d: truncation.rates(t(s, d, "documents")),
+    "p10_method": lambda s, d: truncation.method(t(s, d, "documents"), t(s, d, "common_words")),
+    "p10_found": lambda s, d: truncation.found(t(s, d, "documents"), t(s, d, "common_words")),
+    "p10_rates": lambda s, d: truncation.rates(t(s, d, "documents"), t(s, d, "common_words")),
 }
 
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
