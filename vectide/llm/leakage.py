@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.orphans import bloom, filter_bits, membership
 from .words import words
 
 WINDOW = 12
@@ -199,6 +200,10 @@ def hits_by_join(docs: DataFrame, items: DataFrame, size: int, window: int, budg
 
     left = docs.mapInPandas(grams("doc_id", 1), "doc_id long, doc_id_at int, gram string").withColumn("h", F.xxhash64("gram"))
     right = items.mapInPandas(grams("item_id", size), "item_id long, item_id_at int, gram string").withColumn("h", F.xxhash64("gram"))
+    # Runs of words that no item holds are told by a filter and aren't shuffled.
+    pieces = right.select("h").distinct()
+    possible = membership(docs.sparkSession, bloom(pieces, "h", filter_bits(pieces.count())))
+    left = left.where(possible("h"))
     hits = left.join(right.select("h", "item_id", "item_id_at"), "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("doc_id_at", "item_id_at")).alias("hits"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

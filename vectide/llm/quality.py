@@ -6,9 +6,12 @@ words in its best language. Per language, exact ranks of every statistic come fr
 range-partitioned sort: partitions are sorted by (language, statistic, value), each reports
 how many values it holds, and the running totals of the partitions before are its offsets.
 The ranks give empirical tail probabilities; an outlier score adds up how far -ln(tail) exceeds
-1, which it does by chance for a third of all values. The score ranks texts within the mix of
-their language; the kind comes from the shape of the lines alone, so kinds that are common in
-a language are found as well.
+1, which it does by chance for a third of all values. ``scored`` is that method over the whole
+table (the query ``p5_method``).
+
+The score is relative: where a third of a language's texts are lists or tables, their
+statistics are no tails, and no score tells a list from a table. So ``found`` goes by the shape of
+the lines alone, and kinds that are common in a language are found as well.
 
 Equal values may be split between partitions (the sort key ends with a hash of the id), so a
 value that a third of all rows share fills no single task; ties that cross a border are
@@ -39,6 +42,8 @@ STATS = ("n_words", "mean_word_len", "symbol_share", "punct_line_share", "common
 SIDES = ("both", "both", "high", "low", "low")
 FALLBACK = "en"
 MAX_COMMON = 100_000
+#: Values of one partition of the sort, which a task holds at once.
+RANKED = 2_000_000
 
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _PUNCT = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*\Z")
@@ -154,13 +159,10 @@ def ranks(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     ``rows`` has (id, lang, stat, value). The sorted rows are cut off in the shared folder, so
     that both passes see the same partitions.
     """
-    n = partitions or slots(rows.sparkSession)
+    n = partitions or max(slots(rows.sparkSession), -(-rows.count() // RANKED))
     ordered = rows.withColumn("salt", F.xxhash64("id")).repartitionByRange(n, "lang", "stat", "value", "salt").sortWithinPartitions("lang", "stat", "value", "salt").drop("salt")
     kept = cut(ordered)
 
-    def runs(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(list(batches), ignore_index=True) if (batches := list(batches)) else pd.DataFrame(columns=["id", "lang", "stat", "value"])
-
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: dict[tuple, list] = {}
         for pdf in batches:
