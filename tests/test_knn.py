@@ -62,7 +62,7 @@ def test_graph_recall_and_integrity(spark):
     c = VecConfig(64, "l2", ef_construction=80, ef_search=64)
     built = hnsw.build(df, c, 3).cache()
     asked = [(i, r.uniform(-1, 1, 64).astype(np.float32)) for i in range(20)]
-    found = hnsw.search(df, built, asked, 10, c, 3).collect()
+    found = hnsw.search(built, asked, 10, c).collect()
     share = np.mean([len(brute(x, q, 10) & {f["rowid"] for f in found if f["qid"] == i}) / 10 for i, q in asked])
     assert share >= 0.8
     report = metrics.integrity(df, hnsw.edges(built), hnsw.layers(built), c.m).first()
@@ -71,7 +71,7 @@ def test_graph_recall_and_integrity(spark):
     assert top["max_layer"] == hnsw.layers(built).agg(F.max("max_layer")).first()[0]
     again = hnsw.build(df, c, 3)
     assert built.exceptAll(again).isEmpty()
-    over = hnsw.search(df, built, asked[:2], 5, c, 3, metric="cosine")
+    over = hnsw.search(built, asked[:2], 5, c, metric="cosine")
     assert over.count() == 10
 
 
@@ -111,3 +111,27 @@ def test_many_queries_meet_the_corpus_by_a_shuffle(spark, monkeypatch):
     d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
     np.fill_diagonal(d, 1e9)
     assert runs[0][0] == {(i, int(j), k + 1) for i in range(400) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+
+
+def test_a_graph_is_mended_where_nodes_go_and_come(spark):
+    r = np.random.default_rng(11)
+    x = r.uniform(-1, 1, size=(900, 24)).astype(np.float32)
+    c = VecConfig(24, "l2", ef_construction=60, ef_search=64)
+    before = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:800])], "rowid long, vector array<float>")
+    kept = [i for i in range(800) if i % 8]
+    after = [(i, (x[i] if i % 40 != 1 else x[i] + 1).tolist()) for i in kept] + [(i, x[i].tolist()) for i in range(800, 860)]
+    rows = spark.createDataFrame(after, "rowid long, vector array<float>")
+    built = hnsw.refresh(rows, hnsw.build(before, c, 2), c, 2).cache()
+    assert metrics.integrity(rows, hnsw.edges(built), hnsw.layers(built), c.m).first()[:] == (0, 0, 0, 0, 0)
+    assert hnsw.layers(built).count() == len(after) and hnsw.edges(built).groupBy("layer", "node_id", "neighbor_id").count().where("count > 1").isEmpty()
+    ids, now = np.array([i for i, _ in after]), np.array([v for _, v in after], np.float32)
+    asked = [(i, r.uniform(-1, 1, 24).astype(np.float32)) for i in range(20)]
+    found = hnsw.search(built, asked, 10, c).collect()
+    share = [len({f["rowid"] for f in found if f["qid"] == i} & set(ids[np.argsort(np.linalg.norm(now - q, axis=1))[:10]].tolist())) / 10 for i, q in asked]
+    assert np.mean(share) >= 0.9
+    empty = hnsw.refresh(rows.where("false"), hnsw.build(before, c, 2), c, 2)
+    assert empty.count() == 0 and hnsw.search(empty, asked, 3, c).count() == 0
+
+
+def test_shards_are_bounded_in_rows_and_bytes():
+    assert hnsw.shard_count(20_001) == 2 and hnsw.shard_count(20_000, dims=8192) == 10 and hnsw.shard_count(0) == 1 and hnsw.shard_count(1000, cores=8) == 4

@@ -93,11 +93,17 @@ def test_types_and_metrics(spark, tmp_path, kind, metrics):
 
 
 def test_index_follows_changes(spark, table):
-    near = table.match_indexed([(0, [0, 0, 0])], 3).collect()
+    asked = table.match_indexed([(0, [0, 0, 0])], 3)
+    assert asked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the shards' nearest by query
+    near = asked.collect()
     assert {n["rowid"] for n in near} >= {1} and len(near) == 3
     table.delete([1])
     assert table.state["dirty"] == [0]
+    first = table.state["graph"]
     assert 1 not in {n["rowid"] for n in table.match_indexed([(0, [0, 0, 0])], 8).collect()}
+    assert table.state["graph"].keys() == first.keys() and table.state["graph"] != first
+    table.vacuum()
+    assert table.match_indexed([(0, [0, 0, 0])], 8).count() == 7
     table.views("v")
     assert spark.sql("SELECT count(*) FROM v_graph g LEFT ANTI JOIN v_data d ON g.node_id = d.id").first()[0] == 0
     assert spark.table("v_layers").count() == 7 and spark.table("v_config").where("key = 'count'").first()["value"] == "7"

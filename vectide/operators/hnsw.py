@@ -1,16 +1,20 @@
-"""A sharded proximity graph (HNSW): built and searched by executors, one graph per shard.
+"""A sharded proximity graph (HNSW): built, changed and searched by executors, one graph per shard.
 
 Rows are spread over shards by the hash of their id. A shard's graph is built in one task
-from a seeded generator, so builds repeat exactly, and is stored as rows (shard, layer,
-node_id, neighbor_id, distance) and (shard, node_id, max_layer). A search walks every shard
-with a beam of max(ef, k) and merges the shards' k nearest. Inserts and deletes rebuild the
-shards they touch. ``shard_rows`` bounds a shard, so no group grows with the table.
+from a seeded generator, so builds repeat exactly, and is kept as rows (shard, layer, node_id,
+neighbor_id, distance, vector): edges, and a row of layer -1 a node with its top layer as
+neighbor_id and its stored vector. The rows of a shard lie together in one partition, or in
+one file, so a search reads each shard in place and shuffles only the shards' k nearest.
+
+``refresh`` brings shards up to changed rows: nodes that are gone leave, each node that lost a
+neighbour is searched for anew and joined again, and new nodes are added. ``SHARD_ROWS`` and
+``SHARD_BYTES`` bound a shard, so no group grows with the table.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,9 +24,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import VecConfig, check_ef, check_k, check_metric
 from ..functions.kernels import KERNELS, store
 
-SHARD_ROWS, LEAST_ROWS = 20_000, 250
-GRAPH = "shard int, layer int, node_id long, neighbor_id long, distance double"
-LAYERS = "shard int, node_id long, max_layer int"
+SHARD_ROWS, SHARD_BYTES, LEAST_ROWS = 20_000, 64 << 20, 250
+#: Share of changed nodes from which a shard is built anew.
+REBUILD = 0.3
+GRAPH = "shard int, layer int, node_id long, neighbor_id long, distance double, vector binary"
+COLUMNS = ["shard", "layer", "node_id", "neighbor_id", "distance", "vector"]
+TYPES = {"float32": np.float32, "int8": np.int8, "bit": np.uint8}
 
 
 @dataclass
@@ -76,7 +83,8 @@ class Graph:
         links[i] = near[:most]
         for d, j in links[i]:
             own = links.setdefault(j, [])
-            own.append((d, i))
+            if all(n != i for _, n in own):
+                own.append((d, i))
             if len(own) > most:
                 own.sort()
                 del own[most:]
@@ -99,14 +107,62 @@ class Graph:
             self.entry = i
 
 
-def build_graph(ids: np.ndarray, x: np.ndarray, config: VecConfig, seed: int) -> tuple[Graph, np.ndarray]:
-    """The graph over stored rows, and each row's top layer."""
-    r = np.random.default_rng(seed)
-    levels = np.floor(-np.log(1.0 - r.random(len(ids))) / np.log(config.m)).astype(int)
+    def remove(self, gone: set[int], ef: int) -> None:
+        """Takes nodes out and joins those that lost a neighbour anew, from the entry down."""
+        hurt = []
+        for layer, links in enumerate(self.layers):
+            for i in gone:
+                links.pop(i, None)
+            for j, near in links.items():
+                kept = [(d, n) for d, n in near if n not in gone]
+                if len(kept) < len(near):
+                    links[j] = kept
+                    hurt.append((layer, j))
+        while self.layers and not self.layers[-1]:
+            self.layers.pop()
+        self.entry = min(self.layers[-1]) if self.layers else -1
+        for layer, j in sorted(hurt, reverse=True):
+            at = [self.entry]
+            for above in range(len(self.layers) - 1, layer, -1):
+                at = [self.beam(self.x[j], at, 1, above)[0][1]]
+            near = {n: d for d, n in [*self.beam(self.x[j], at, ef, layer), *self.layers[layer][j]] if n != j}
+            self.link(j, sorted((d, n) for n, d in near.items()), layer)
+
+    def moved(self, place: dict[int, int], x: np.ndarray) -> Graph:
+        """The same graph over other positions."""
+        layers = [{place[i]: [(d, place[n]) for d, n in near] for i, near in links.items()} for links in self.layers]
+        return Graph(x, self.metric, self.m, layers, place.get(self.entry, -1))
+
+    def rows(self, shard: int, ids: np.ndarray) -> pd.DataFrame:
+        """The graph as GRAPH rows."""
+        tops: dict[int, int] = {i: layer for layer, links in enumerate(self.layers) for i in links}
+        out = [(shard, layer, ids[i], ids[j], d, None) for layer, links in enumerate(self.layers) for i, near in links.items() for d, j in near]
+        return pd.DataFrame(out + [(shard, -1, ids[i], top, 0.0, self.x[i].tobytes()) for i, top in tops.items()], columns=COLUMNS)
+
+    @staticmethod
+    def of(pdf: pd.DataFrame, config: VecConfig, metric: str | None = None) -> tuple[np.ndarray, Graph]:
+        """The ids and the graph of one shard's rows."""
+        tops = pdf[pdf["layer"] == -1].sort_values("node_id")
+        ids, top = tops["node_id"].to_numpy(np.int64), tops["neighbor_id"].to_numpy(np.int64)
+        g = Graph(np.frombuffer(b"".join(tops["vector"]), TYPES[config.type]).reshape(len(ids), -1), metric or config.metric, config.m)
+        g.layers = [{i: [] for i in np.flatnonzero(top >= layer).tolist()} for layer in range(int(top.max()) + 1 if len(top) else 0)]
+        links = pdf[pdf["layer"] >= 0]
+        for layer, i, j, d in zip(links["layer"], np.searchsorted(ids, links["node_id"]).tolist(), np.searchsorted(ids, links["neighbor_id"]).tolist(), links["distance"], strict=True):
+            g.layers[layer][i].append((d, j))
+        g.entry = int(top.argmax()) if len(top) else -1
+        return ids, g
+
+
+def levels(r: np.random.Generator, n: int, m: int) -> list[int]:
+    return np.floor(-np.log(1.0 - r.random(n)) / np.log(m)).astype(int).tolist()
+
+
+def build_graph(x: np.ndarray, config: VecConfig, seed: int) -> Graph:
+    """The graph over stored rows."""
     g = Graph(x, config.metric, config.m)
-    for i in range(len(ids)):
-        g.add(i, int(levels[i]), config.ef_construction)
-    return g, levels
+    for i, level in enumerate(levels(np.random.default_rng(seed), len(x), config.m)):
+        g.add(i, level, config.ef_construction)
+    return g
 
 
 def stored(df_vectors: pd.Series, kind: str) -> np.ndarray:
@@ -121,60 +177,87 @@ def with_shards(rows: DataFrame, shards: int, key: str = "rowid") -> DataFrame:
     return rows.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
 
 
-def shard_count(rows: int, cores: int = 1) -> int:
-    """As many shards as ``SHARD_ROWS`` asks for, and up to one a core while each has ``LEAST_ROWS``."""
-    return max(1, -(-rows // SHARD_ROWS), min(cores, rows // LEAST_ROWS))
+def shard_count(rows: int, cores: int = 1, dims: int = 64) -> int:
+    """As many shards as ``SHARD_ROWS`` and ``SHARD_BYTES`` ask for, and up to one a core while each has ``LEAST_ROWS``."""
+    most = max(1, min(SHARD_ROWS, SHARD_BYTES // (4 * dims)))
+    return max(1, -(-rows // most), min(cores, rows // LEAST_ROWS))
+
+
+def _placed(rows: DataFrame, shards: int, key: str, vector: str) -> DataFrame:
+    return with_shards(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null"), shards, "id")
 
 
 def build(rows: DataFrame, config: VecConfig, shards: int, seed: int = 42, key: str = "rowid", vector: str = "vector") -> DataFrame:
-    """Edges and top layers of every shard's graph: GRAPH rows, and rows with layer -1 whose neighbor_id is a node's top layer."""
+    """GRAPH rows of every shard's graph, each shard's rows together."""
 
     def run(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy(np.int64)
-        g, levels = build_graph(ids, stored(pdf["v"], config.type), config, seed + int(key_[0]))
-        out = [(key_[0], layer, ids[i], ids[j], d) for layer, links in enumerate(g.layers) for i, near in links.items() for d, j in near]
-        out += [(key_[0], -1, ids[i], int(levels[i]), 0.0) for i in range(len(ids))]
-        return pd.DataFrame(out, columns=["shard", "layer", "node_id", "neighbor_id", "distance"])
+        return build_graph(stored(pdf["v"], config.type), config, seed + int(key_[0])).rows(key_[0], pdf["id"].to_numpy(np.int64))
+
+    return _placed(rows, shards, key, vector).groupBy("shard").applyInPandas(run, GRAPH)
 
-    named = with_shards(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null"), shards, "id")
-    return named.groupBy("shard").applyInPandas(run, GRAPH)
+
+def refresh(rows: DataFrame, built: DataFrame, config: VecConfig, shards: int, seed: int = 42, key: str = "rowid", vector: str = "vector") -> DataFrame:
+    """The graphs of ``built`` brought up to ``rows``, which hold all rows of these shards."""
+
+    def run(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        shard, left = key_[0], left.sort_values("id")
+        ids, x = left["id"].to_numpy(np.int64), stored(left["v"], config.type)
+        if not len(ids):
+            return pd.DataFrame({c: [] for c in COLUMNS})
+        old, g = Graph.of(right, config)
+        at = {i: k for k, i in enumerate(ids.tolist())}
+        same = {k for k, i in enumerate(old.tolist()) if i in at and g.x[k].tobytes() == x[at[i]].tobytes()}
+        fresh = sorted(set(range(len(ids))) - {at[int(old[k])] for k in same})
+        if len(old) - len(same) + len(fresh) > REBUILD * len(ids):
+            return build_graph(x, config, seed + int(shard)).rows(shard, ids)
+        g.remove(set(range(len(old))) - same, config.ef_construction)
+        g = g.moved({k: at[int(old[k])] for k in same}, x)
+        for i, level in zip(fresh, levels(np.random.default_rng([seed, int(shard), len(ids), len(fresh)]), len(fresh), config.m), strict=True):
+            g.add(i, level, config.ef_construction)
+        return g.rows(shard, ids)
+
+    return _placed(rows, shards, key, vector).groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(run, GRAPH)
 
 
 def edges(built: DataFrame) -> DataFrame:
-    return built.where("layer >= 0")
+    return built.where("layer >= 0").drop("vector")
 
 
 def layers(built: DataFrame) -> DataFrame:
     return built.where("layer = -1").select("shard", "node_id", F.col("neighbor_id").cast("int").alias("max_layer"))
 
 
-def search(rows: DataFrame, built: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, config: VecConfig, shards: int, ef: int | None = None, metric: str | None = None, key: str = "rowid", vector: str = "vector") -> DataFrame:
-    """(qid, rowid, distance) of the k nearest found for each query. ``metric`` overrides the table's while walking its graph."""
+def search(built: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, config: VecConfig, ef: int | None = None, metric: str | None = None) -> DataFrame:
+    """(qid, rowid, distance) of the k nearest found for each query. ``metric`` overrides the table's while walking its graph.
+
+    ``built`` is read as it lies: every shard's rows together, as ``build``, ``refresh`` and a table's folder leave them.
+    """
     ef = check_ef(ef, config.ef_search)
     k = check_k(k, ef)
     measure = check_metric(metric, config.type) if metric else config.metric
-    block = [(int(i), np.asarray(q, np.float32)) for i, q in queries]
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-
-    def run(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["qid", "rowid", "distance"]
-        if not len(left):
-            return pd.DataFrame({c: [] for c in columns})
-        left = left.sort_values("id")
-        ids = left["id"].to_numpy(np.int64)
-        g = Graph(stored(left["v"], config.type), measure, config.m)
-        tops = right[right["layer"] == -1]
-        links = right[right["layer"] >= 0]
-        g.layers = [{} for _ in range(int(tops["neighbor_id"].max()) + 1)]
-        a, b = np.searchsorted(ids, links["node_id"]), np.searchsorted(ids, links["neighbor_id"])
-        for layer, i, j, d in zip(links["layer"], a.tolist(), b.tolist(), links["distance"], strict=True):
-            g.layers[layer].setdefault(i, []).append((d, j))
-        top = tops.sort_values(["neighbor_id", "node_id"], ascending=[False, True]).iloc[0]
-        g.entry = int(np.searchsorted(ids, top["node_id"]))
-        out = [(i, ids[j], d) for i, q in shared.value for d, j in g.search(store(q[None], config.type)[0], k, ef)]
-        return pd.DataFrame(out, columns=columns)
-
-    named = with_shards(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null"), shards, "id")
-    hits = named.groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(run, "qid long, rowid long, distance double")
+    shared = built.sparkSession.sparkContext.broadcast([(int(i), store(np.asarray(q, np.float32)[None], config.type)[0]) for i, q in queries])
+
+    def walked(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        ids, g = Graph.of(pd.concat(parts, ignore_index=True), config, measure)
+        out = [(i, ids[j], d) for i, q in shared.value for d, j in g.search(q, k, ef)]
+        return pd.DataFrame(out, columns=["qid", "rowid", "distance"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, parts = None, []
+        for pdf in batches:
+            shard = pdf["shard"].to_numpy()
+            turns = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(turns, turns[1:]):
+                if a == b:
+                    continue
+                if shard[a] != current and parts:
+                    yield walked(parts)
+                    parts = []
+                current = shard[a]
+                parts.append(pdf.iloc[a:b])
+        if parts:
+            yield walked(parts)
+
+    hits = built.mapInPandas(run, "qid long, rowid long, distance double")
     return hits.selectExpr("*", "row_number() over (partition by qid order by distance, rowid) rank").where(f"rank <= {k}").drop("rank")

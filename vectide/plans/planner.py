@@ -13,9 +13,6 @@ from ..functions.register import register
 from ..operators.knn import threshold
 from ..sources.table import VectorTable
 
-#: Rows from which the graph is walked when the caller leaves the choice open; below, the exact pass is cheap.
-GRAPH_FROM = 1_000_000
-
 
 @dataclass(frozen=True)
 class Request:
@@ -35,13 +32,14 @@ class Request:
 
 
 def path(table: VectorTable, r: Request) -> str:
-    """``exact``, ``graph``, ``point`` or ``scan``. A search goes before an id, an id before a scan; filtered rows are searched exactly, whatever the mode."""
+    """``exact``, ``graph``, ``point`` or ``scan``. A search goes before an id, an id before a scan.
+
+    One query is exact unless the graph is asked for: a graph holds several times the bytes of
+    its vectors and is read for every search, so one exact pass is always less work. Filtered
+    rows are searched exactly, whatever the mode.
+    """
     if r.matched or r.query is not None:
-        if r.prefilter is not None:
-            return "exact"
-        if r.mode in ("exact", "graph"):
-            return r.mode
-        return "graph" if table.count() >= GRAPH_FROM and table.state["graph"] is not None else "exact"
+        return "graph" if r.mode == "graph" and r.prefilter is None else "exact"
     return "point" if r.rowid is not None else "scan"
 
 

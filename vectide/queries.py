@@ -588,39 +588,38 @@ def q_search(s: SparkSession, d: str) -> DataFrame:
     return s.sql(f"SELECT rowid, round(distance, 6) AS distance FROM vec_search_demo(array({q}), 10)")
 
 
-def _built(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, VecConfig, int]:
+def _built(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, VecConfig]:
     rows, config = rows_of(s, d), VecConfig(64, "l2", m=16, ef_construction=100, ef_search=64)
-    shards = hnsw.shard_count(rows.count(), s.sparkContext.defaultParallelism)
-    return rows, hnsw.build(rows, config, shards), config, shards
+    return rows, cut(hnsw.build(rows, config, hnsw.shard_count(rows.count(), s.sparkContext.defaultParallelism))), config
 
 
-def _searched(rows: DataFrame, built: DataFrame, config: VecConfig, shards: int) -> DataFrame:
+def _searched(rows: DataFrame, built: DataFrame, config: VecConfig) -> DataFrame:
     """The 10 nearest found for every rowid that 20 divides, asked block by block."""
     found = None
     for ids, x in K.query_blocks(rows.where("rowid % 20 = 0"), "rowid", "vector"):
-        part = hnsw.search(rows, built, list(zip(ids.tolist(), x, strict=True)), 10, config, shards)
+        part = hnsw.search(built, list(zip(ids.tolist(), x, strict=True)), 10, config)
         found = part if found is None else found.unionByName(part)
-    return hnsw.search(rows, built, [], 10, config, shards) if found is None else found
+    return hnsw.search(built, [], 10, config) if found is None else found
 
 
 @query("ann_hnsw_topk")
 def q_hnsw(s: SparkSession, d: str) -> DataFrame:
-    rows, built, config, shards = _built(s, d)
-    return _searched(rows, cut(built), config, shards).select("qid", "rowid", F.round("distance", 6).alias("distance"))
+    rows, built, config = _built(s, d)
+    return _searched(rows, built, config).select("qid", "rowid", F.round("distance", 6).alias("distance"))
 
 
 @query("hnsw_recall", "SELECT count(*) AS n_queries, true AS at_least_090 FROM embeddings WHERE vec_id % 20 = 0")
 def q_hnsw_recall(s: SparkSession, d: str) -> DataFrame:
-    rows, built, config, shards = _built(s, d)
+    rows, built, config = _built(s, d)
     ask = rows.where("rowid % 20 = 0")
-    found = _searched(rows, cut(built), config, shards)
+    found = _searched(rows, built, config)
     exact = K.batch_knn(rows, ask.select(F.col("rowid").alias("qid"), "vector"), 10, "l2")
     return metrics.recall(found, exact, 10).select(F.lit(ask.count()).cast("long").alias("n_queries"), (F.col("recall_mean") >= 0.9).alias("at_least_090"))
 
 
 @query("hnsw_integrity", "SELECT 0::BIGINT AS orphan_ends, 0::BIGINT AS self_edges, 0::BIGINT AS negative, 0::BIGINT AS over_degree, 0::BIGINT AS without_layer")
 def q_hnsw_integrity(s: SparkSession, d: str) -> DataFrame:
-    rows, built, config, _ = _built(s, d)
+    rows, built, config = _built(s, d)
     return metrics.integrity(rows, hnsw.edges(built), hnsw.layers(built), config.m)
 
 

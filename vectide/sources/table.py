@@ -11,7 +11,7 @@ anew, by itself once a quarter of all rows has gone.
 Rows are (rowid, vector) in their storage type; ids given on insert are kept (a duplicate is
 an error), others follow the greatest so far. The index, if any, is the sharded graph of
 ``operators.hnsw``; a change marks the shards it touches and the next ``optimize`` or indexed
-search rebuilds only those.
+search mends only those: gone nodes leave, their neighbours are joined anew, new ones are added.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ class VectorTable:
 
     def vacuum(self) -> None:
         """Removes folders that no committed version names."""
-        used = {*self.manifest["data"], *(name for name, _ in self.manifest["gone"]), self.manifest["graph"]}
+        used = {*self.manifest["data"], *(name for name, _ in self.manifest["gone"]), *(self.manifest["graph"] or {}).values()}
         for p in self.path.iterdir():
             if p.is_dir() and p.name not in used:
                 shutil.rmtree(p)
@@ -217,8 +217,7 @@ class VectorTable:
     def match_indexed(self, queries: Sequence[tuple[int, Sequence[float]]], k: int | None = None, ef_search: int | None = None, metric: str | None = None) -> DataFrame:
         """(qid, rowid, distance) found by the graph, which is brought up to date first."""
         self.optimize()
-        built = self.spark.read.schema(hnsw.GRAPH).parquet(str(self.path / self.state["graph"]))
-        return hnsw.search(self.stored(), built, queries, k, self.config, self.state["shards"], ef_search, metric)
+        return hnsw.search(self._graph(), queries, k, self.config, ef_search, metric)
 
     # Writing
 
@@ -311,24 +310,38 @@ class VectorTable:
     def optimize(self, seed: int = 42) -> None:
         """Builds the graph, or the shards of it that changes have touched."""
         state = self.state
-        shards = hnsw.shard_count(max(state["count"], 1))
+        shards = hnsw.shard_count(max(state["count"], 1), dims=self.config.dims)
         if state["graph"] is not None and not state["dirty"] and shards == state["shards"]:
             return
         with self._change() as now:
             rows = self.stored()
             if now["graph"] is not None and shards == now["shards"]:
-                kept = self.spark.read.schema(hnsw.GRAPH).parquet(str(self.path / now["graph"])).where(~F.col("shard").isin(now["dirty"]))
                 touched = hnsw.with_shards(rows, shards).where(F.col("shard").isin(now["dirty"])).drop("shard")
-                built = kept.unionByName(hnsw.build(touched, self.config, shards, seed))
+                built = hnsw.refresh(touched, self._graph(now["dirty"]), self.config, shards, seed)
+                kept = {s: name for s, name in now["graph"].items() if int(s) not in now["dirty"]}
             else:
-                built = hnsw.build(rows, self.config, shards, seed)
-            now["graph"] = self._store(built, "graph")
-            now |= {"dirty": [], "shards": shards}
+                built, kept = hnsw.build(rows, self.config, shards, seed), {}
+            name = f"graph-{uuid.uuid4().hex}"
+            built.write.partitionBy("shard").parquet(str(self.path / name))  # a shard is one task's, so one file
+            made = {p.name.removeprefix("shard="): name for p in (self.path / name).iterdir() if p.name.startswith("shard=")}
+            now |= {"graph": kept | made, "dirty": [], "shards": shards}
+
+    def _graph(self, shards: Sequence[int] | None = None) -> DataFrame:
+        """The graph's rows, of some shards or all; a shard's file is small enough to be read whole by one task."""
+        folders: dict[str, list[str]] = {}
+        for s, name in (self.state["graph"] or {}).items():
+            if shards is None or int(s) in shards:
+                folders.setdefault(name, []).append(str(self.path / name / f"shard={s}"))
+        out = None
+        for name, paths in folders.items():
+            part = self.spark.read.schema(hnsw.GRAPH).option("basePath", str(self.path / name)).parquet(*paths).select(hnsw.COLUMNS)
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], hnsw.GRAPH) if out is None else out
 
     def views(self, name: str) -> None:
         """Temporary views ``<name>_config``, ``_data``, ``_graph`` and ``_layers`` over the parts."""
         self.optimize()
-        built = self.spark.read.schema(hnsw.GRAPH).parquet(str(self.path / self.state["graph"]))
+        built = self._graph()
         from ..operators.metrics import entry_point
 
         top = hnsw.layers(built)
