@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut, slots
-from .vectors import DIMS, distinct_vectors, unit, usable
+from .vectors import DIMS, distinct_vectors, matrix, packed, unit, usable
 
 SAMPLE, PROBES, TARGET, LEAST_BUDGET = 20_000, 384, 0.99, 512
 MAX_HALF, CELL_ROWS = 1024, 48
@@ -166,9 +166,9 @@ def fit(vectors: DataFrame, key: str, target: float = TARGET, k: int = 5, least:
                 a, b = shared.value.distances(u)
                 i, j = a.argmin(axis=1), b.argmin(axis=1)
                 far = np.sqrt(np.take_along_axis(a, i[:, None], 1) + np.take_along_axis(b, j[:, None], 1))[:, 0]
-                yield pd.DataFrame({"vkey": pdf["vkey"], "x": list(u), "cell": (i * b.shape[1] + j).astype(np.int32), "far": far})
+                yield pd.DataFrame({"vkey": pdf["vkey"], "x": packed(u), "cell": (i * b.shape[1] + j).astype(np.int32), "far": far})
 
-    entries = cut(rows.mapInPandas(assign, "vkey long, x array<float>, cell int, far float"))
+    entries = cut(rows.mapInPandas(assign, "vkey long, x binary, cell int, far float"))
     counts = np.zeros(len(grid.first) * len(grid.second), np.int64)
     radius = np.zeros(len(counts), np.float32)
     for r in entries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).toLocalIterator():  # at most MAX_HALF ** 2 rows
@@ -196,7 +196,7 @@ def _budget(entries: DataFrame, grid: Grid, probes: np.ndarray, target: float, k
         for pdf in batches:
             for at in range(0, len(pdf), 4096):
                 part = pdf.iloc[at : at + 4096]
-                s = np.concatenate([best_s, q @ np.stack(part["x"].to_numpy()).T], axis=1)
+                s = np.concatenate([best_s, q @ matrix(part["x"]).T], axis=1)
                 c = np.concatenate([best_c, np.broadcast_to(part["cell"].to_numpy(np.int32), (len(q), len(part)))], axis=1)
                 top = np.argpartition(-s, k, axis=1)[:, : k + 1]
                 best_s, best_c = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
@@ -218,7 +218,6 @@ def routed(index: Index, asking: DataFrame | None = None, least: float = -1.0) -
     """Entries (kind 0) and queries (kind 1), by region: (region, kind, cell, vkey, x, cells). ``asking`` holds the query keys, all if None."""
     entries = index.entries
     entries = entries.withColumn("asks", F.lit(True)) if asking is None else entries.join(asking.select("vkey", F.lit(True).alias("asks")), "vkey", "left")
-    names = ["region", "kind", "cell", "vkey", "x", "cells"]
     shared = index.entries.sparkSession.sparkContext.broadcast(index.grid)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,16 +227,27 @@ def routed(index: Index, asking: DataFrame | None = None, least: float = -1.0) -
                 pdf = batch.iloc[at : at + 2000]
                 home = grid.region[pdf["cell"].to_numpy()]
                 part = grid.base[home] + pdf["vkey"].to_numpy() % grid.parts[home]
-                out = [(r, 0, cell, vkey, v, None) for r, vkey, v, cell in zip(part, pdf["vkey"], pdf["x"], pdf["cell"], strict=True)]
+                yield pd.DataFrame({"region": part, "kind": 0, "cell": pdf["cell"], "vkey": pdf["vkey"], "x": pdf["x"], "cells": None})
                 pdf = pdf[pdf["asks"].notna().to_numpy()]
-                x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 2), np.float32)
-                for vkey, v, cell, path in zip(pdf["vkey"], pdf["x"], pdf["cell"], grid.walk(x, None, least) if len(pdf) else (), strict=True):
-                    path = np.array(path, np.int32)
-                    into = grid.region[path]
-                    out += [(grid.base[r] + k, 1, cell, vkey, v, path[into == r]) for r in np.unique(into) for k in range(grid.parts[r])]
-                yield pd.DataFrame(out, columns=names)
-
-    return entries.mapInPandas(send, "region int, kind int, cell int, vkey long, x array<float>, cells array<int>")
+                paths = list(grid.walk(matrix(pdf["x"]), None, least)) if len(pdf) else []
+                cells = np.array([c for path in paths for c in path], np.int32)
+                if not len(cells):
+                    continue
+                # The cells of each query by region, the regions of each query one after another.
+                asker, region = np.repeat(np.arange(len(paths)), [len(path) for path in paths]), grid.region[cells]
+                order = np.lexsort((region, asker))
+                asker, region, cells = asker[order], region[order], cells[order]
+                turns = np.flatnonzero((np.diff(asker) != 0) | (np.diff(region) != 0)) + 1
+                first = np.concatenate([[0], turns])
+                n = grid.parts[region[first]]
+                row = np.repeat(np.arange(len(first)), n)
+                spread = grid.base[region[first]][row] + np.arange(len(row)) - np.repeat(n.cumsum() - n, n)
+                q = asker[first][row]
+                lists = np.empty(len(first), object)
+                lists[:] = np.split(cells, turns)
+                yield pd.DataFrame({"region": spread, "kind": 1, "cell": pdf["cell"].to_numpy()[q], "vkey": pdf["vkey"].to_numpy()[q], "x": pdf["x"].to_numpy()[q], "cells": lists[row]})
+
+    return entries.mapInPandas(send, "region int, kind int, cell int, vkey long, x binary, cells array<int>")
 
 
 def by_region(rows: DataFrame, match, schema: str) -> DataFrame:
@@ -257,7 +267,7 @@ def by_region(rows: DataFrame, match, schema: str) -> DataFrame:
             entries = pd.concat(held, ignore_index=True) if held else None
             held.clear()
             if entries is not None:
-                x = np.stack(entries["x"].to_numpy())
+                x = matrix(entries["x"])
                 cells, first, n = np.unique(entries["cell"].to_numpy(), return_index=True, return_counts=True)
                 starts = {c: (a, a + m) for c, a, m in zip(cells.tolist(), first.tolist(), n.tolist(), strict=True)}
                 entries = entries[["vkey"]]
@@ -269,7 +279,7 @@ def by_region(rows: DataFrame, match, schema: str) -> DataFrame:
                 return
             for at in range(0, len(queries), group):
                 q = queries.iloc[at : at + group]
-                asked = np.stack(q["x"].to_numpy())
+                asked = matrix(q["x"])
                 cells = np.unique(np.concatenate(q["cells"].to_numpy())).tolist()
                 spans = [starts[c] for c in cells if c in starts]
                 if not spans:

@@ -34,3 +34,13 @@ def unit(values) -> np.ndarray:
     """Rows of unit length, in float32; the norm is taken in double precision."""
     x = np.stack([np.asarray(v, dtype=np.float64) for v in values]) if len(values) else np.zeros((0, DIMS))
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).astype(np.float32)
+
+
+def packed(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes, which cross to and from Python as one block."""
+    return [row.tobytes() for row in x]
+
+
+def matrix(rows) -> np.ndarray:
+    """The rows that ``packed`` made."""
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
