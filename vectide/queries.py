@@ -651,6 +651,20 @@ def q_lsh(s: SparkSession, d: str) -> DataFrame:
     return near.select("rowid", F.round("distCol", 6).alias("distance"))
 
 
+@query("ann_minhash_topk", f"SELECT row_number() OVER (ORDER BY distance)::INTEGER AS rank, distance FROM (SELECT {_BITS['jaccard']} AS distance FROM {_SIGNS} x, (SELECT b AS q FROM {_SIGNS} y WHERE rowid = 0) z ORDER BY 1 LIMIT 10) n")
+def q_minhash(s: SparkSession, d: str) -> DataFrame:
+    """The distances of the 10 nearest sets of positive elements, found through MinHash tables."""
+    from pyspark.ml.feature import MinHashLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    signs = rows_of(s, d).select("rowid", F.transform("vector", lambda x: (x > 0).cast("double")).alias("signs"))
+    rows = signs.where(F.exists("signs", lambda x: x > 0)).select("rowid", array_to_vector("signs").alias("features"))
+    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=24, seed=42).fit(rows)
+    near = model.approxNearestNeighbors(rows, Vectors.dense((first_vector(s, d) > 0).astype(float)), 10)
+    return near.selectExpr("cast(row_number() over (order by distCol) as int) rank", "round(distCol, 6) distance")
+
+
 @query("stream_insert", "SELECT count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings")
 def q_stream(s: SparkSession, d: str) -> DataFrame:
     from .streaming.ingest import insert_stream

@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, title, text) of a page dump (XML, plain or compressed): articles that aren't redirects and hold text."""
-    pages = spark.read.format("xml").option("rowTag", "page").option("nullValue", "").schema("id string, ns string, title string, redirect string, revision struct<text: string>").load(path)
-    raw = spark.read.format("xml").option("rowTag", "page").schema("redirect struct<_title: string>, id string").load(path)
-    redirects = raw.where("redirect is not null").select("id").distinct()
+    schema = "id string, ns string, title string, redirect struct<_title: string>, revision struct<text: string>"
+    pages = spark.read.format("xml").option("rowTag", "page").schema(schema).load(path)
     text = F.col("revision.text")
-    rows = pages.where((F.col("ns") == "0") & F.col("title").isNotNull() & text.isNotNull() & (F.trim(text) != "") & F.col("id").rlike(r"^\s*\d+\s*$"))
-    return rows.join(redirects, "id", "left_anti").select(F.trim("id").cast("long").alias("page_id"), "title", text.alias("text"))
+    rows = pages.where((F.trim("ns") == "0") & F.col("title").isNotNull() & text.isNotNull() & (F.trim(text) != "") & F.col("id").rlike(r"^\s*\d+\s*$"))
+    return rows.where("redirect is null").select(F.trim("id").cast("long").alias("page_id"), "title", text.alias("text"))
 
 
 def append_csv(df: DataFrame, path: str) -> None:
