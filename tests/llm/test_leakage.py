@@ -63,6 +63,22 @@ def test_one_wrong_word_is_found(spark):
         assert len(got) == 1 and got[0]["window_edits"] == 1, k
 
 
+def test_two_wrong_words_are_found(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs, want = [], set()
+    for k in range(1, 11):
+        for j in range(k + 1, 11):
+            w = [f"w{i}" for i in range(7, 19)]
+            w[k], w[j] = "odd", "even"
+            docs.append((100 * k + j, "x y " + " ".join(w) + " z"))
+            want.add(100 * k + j)
+    docs.append((5, "x " + " ".join(f"w{i}" if i % 4 else "odd" for i in range(8, 20)) + " y"))  # three wrong words
+    d, e = frames(spark, [(1, item)], docs)
+    for most in (L.MAX_PIECES, 0):
+        got = {r["doc_id"]: r["window_edits"] for r in L.leaks(d, e, budget=2, max_pieces=most).collect()}
+        assert got == dict.fromkeys(want, 2)
+
+
 def test_cases(spark):
     item = " ".join(f"w{i}" for i in range(12))
     d, e = frames(spark, [(1, item), (2, "too short an item"), (3, None), (1, item)], [(1, item), (1, item), (2, None), (3, ""), (4, "w5 " * 100_000 + item.replace(" ", "--").upper()), (None, item)])

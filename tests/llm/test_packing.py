@@ -49,6 +49,43 @@ def test_little_room_is_wasted():
     assert sizes.sum() / (p.made * 2048) > 0.98
 
 
+def best_fit(sizes, cap):
+    room = []
+    for s in sizes:
+        fits = [k for k, x in enumerate(room) if x >= s]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= s
+        else:
+            room.append(cap - s)
+    return len(room)
+
+
+def test_close_to_best_fit_on_document_sizes():
+    r = np.random.default_rng(4)
+    for sizes in (r.integers(20, 400, 3000), r.integers(100, 900, 3000), np.clip(r.lognormal(5.3, 0.9, 3000), 1, 2048).astype(int)):
+        p = P.Packer(2048)
+        for s in sizes.tolist():
+            p.place(s)
+        assert p.made <= 1.02 * best_fit(sizes.tolist(), 2048)
+
+
+def test_every_token_is_placed_once(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, "wall " * int(n)) for i, n in enumerate(r.integers(0, 5000, 120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {x["doc_id"]: x["n_tokens"] for x in P.token_counts(df).collect()}
+    spans: dict = {}
+    for x in P.pack(df).collect():
+        spans.setdefault(x["doc_id"], []).append((x["start_token"], x["n_tokens"]))
+    assert spans.keys() == want.keys()
+    for doc, parts in spans.items():
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == want[doc] and len(parts) == max(1, -(-want[doc] // P.CAPACITY))
+
+
 def test_tables(spark):
     rows = [(1, "wall " * 5000, 1), (2, None, 1), (3, "", 1), (4, "short text", 1), (4, "short text", 1), (None, "no id", 1), (5, "wall " * 2048, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
