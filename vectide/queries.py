@@ -51,11 +51,8 @@ def constant(v: np.ndarray) -> Column:
 
 
 def scratch(s: SparkSession) -> str:
-    """The name of a fresh folder under the shared one. Versioned tables need one that is mounted everywhere."""
-    base = shared_dir(s)
-    if "://" in base and not base.startswith("file:"):
-        raise ValueError(f"versioned tables need a mounted shared folder, not {base}")
-    return f"/{base.removeprefix('file:').lstrip('/')}/vectide-{uuid.uuid4().hex}"
+    """The name of a fresh folder under the shared one."""
+    return f"{shared_dir(s).rstrip('/')}/vectide-{uuid.uuid4().hex}"
 
 
 _E = "(SELECT vec_id AS rowid, embedding::DOUBLE[] AS v, label FROM embeddings)"

@@ -6,7 +6,8 @@ reader keeps the version it opened and a failed write changes nothing. One write
 
 A delete writes only the ids that go, as a folder of tombstones that counts for the data
 written before it; an update is a delete and an append. ``compact`` writes the live rows
-anew, by itself once a quarter of all rows has gone.
+anew, by itself once a quarter of all rows has gone. The folder may be on any file system
+with an atomic rename.
 
 Rows are (rowid, vector) in their storage type; ids given on insert are kept (a duplicate is
 an error), others follow the greatest so far. The index, if any, is the sharded graph of
@@ -17,13 +18,10 @@ search mends only those: gone nodes leave, their neighbours are joined anew, new
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import asdict
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -34,6 +32,7 @@ from ..functions.kernels import store
 from ..functions.parse import format_vec, parse_f32
 from ..operators import hnsw
 from ..operators.knn import knn
+from .files import Place
 
 #: Share of gone rows beyond which a change writes the live rows anew.
 COMPACT = 0.25
@@ -74,9 +73,9 @@ class VectorTable:
     """One table; make it with ``create`` or ``load``."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, Path(path)
+        self.spark, self.path = spark, Place(spark, path)
         self._pending: dict | None = None
-        self.manifest = {"gone": [], "removed": 0} | json.loads((self.path / "manifest.json").read_text())
+        self.manifest = {"gone": [], "removed": 0} | json.loads((self.path / "manifest.json").read())
         self.config = VecConfig(**self.manifest["config"])
 
     # Declaration and lifecycle
@@ -85,10 +84,10 @@ class VectorTable:
     def create(cls, spark: SparkSession, path: str, *options: str, config: VecConfig | None = None) -> VectorTable:
         """From ``key=value`` options or a VecConfig; the directory must not hold a table."""
         config = config or VecConfig.parse(*options)
-        where = Path(path)
+        where = Place(spark, path)
         if (where / "manifest.json").exists():
             raise FileExistsError(f"vec0: table {where.name} already exists")
-        where.mkdir(parents=True, exist_ok=True)
+        where.make()
         state = {"config": asdict(config), "data": [], "gone": [], "graph": None, "dirty": [], "shards": 1, "count": 0, "removed": 0, "next_id": 1}
         cls._write(where, state)
         return cls(spark, path)
@@ -101,17 +100,15 @@ class VectorTable:
         to = self.path.with_name(name)
         if to.exists():
             raise FileExistsError(f"vec0: {name} already exists")
-        os.replace(self.path, to)
+        self.path.move(to)
         return VectorTable(self.spark, str(to))
 
     def drop(self) -> None:
-        shutil.rmtree(self.path)
+        self.path.remove()
 
     @staticmethod
-    def _write(where: Path, state: dict) -> None:
-        fresh = where / f"manifest.{uuid.uuid4().hex}.tmp"
-        fresh.write_text(json.dumps(state))
-        os.replace(fresh, where / "manifest.json")
+    def _write(where: Place, state: dict) -> None:
+        (where / "manifest.json").write(json.dumps(state))
 
     # Versions
 
@@ -149,7 +146,7 @@ class VectorTable:
 
     def refresh(self) -> None:
         """Sees what other writers have committed."""
-        self.manifest = {"gone": [], "removed": 0} | json.loads((self.path / "manifest.json").read_text())
+        self.manifest = {"gone": [], "removed": 0} | json.loads((self.path / "manifest.json").read())
 
     def _store(self, df: DataFrame, kind: str) -> str:
         name = f"{kind}-{uuid.uuid4().hex}"
@@ -159,9 +156,9 @@ class VectorTable:
     def vacuum(self) -> None:
         """Removes folders that no committed version names."""
         used = {*self.manifest["data"], *(name for name, _ in self.manifest["gone"]), *(self.manifest["graph"] or {}).values()}
-        for p in self.path.iterdir():
-            if p.is_dir() and p.name not in used:
-                shutil.rmtree(p)
+        for name in self.path.folders():
+            if name not in used:
+                (self.path / name).remove()
 
     # Reading
 
@@ -242,7 +239,7 @@ class VectorTable:
             # Ids from next_id on are new; only smaller ones are looked up.
             low = added.where(F.col("rowid") < state["next_id"])
             if ids != n or (state["count"] and not low.isEmpty() and not low.join(self.stored().select("rowid"), "rowid", "left_semi").isEmpty()):
-                shutil.rmtree(self.path / name)
+                (self.path / name).remove()
                 raise ValueError("vec0: rowid already exists")
             state["data"].append(name)
             state["count"] += n
@@ -271,7 +268,7 @@ class VectorTable:
             written = self.spark.read.parquet(str(self.path / name))
             n, ids = written.agg(F.count("*"), F.count_distinct("rowid")).first()
             if n != ids:
-                shutil.rmtree(self.path / name)
+                (self.path / name).remove()
                 raise ValueError("vec0: rowid named twice in an update")
             self._bury(state, written.select("rowid"))
             state["data"].append(name)
@@ -323,7 +320,7 @@ class VectorTable:
                 built, kept = hnsw.build(rows, self.config, shards, seed), {}
             name = f"graph-{uuid.uuid4().hex}"
             built.write.partitionBy("shard").parquet(str(self.path / name))  # a shard is one task's, so one file
-            made = {p.name.removeprefix("shard="): name for p in (self.path / name).iterdir() if p.name.startswith("shard=")}
+            made = {n.removeprefix("shard="): name for n in (self.path / name).folders() if n.startswith("shard=")}
             now |= {"graph": kept | made, "dirty": [], "shards": shards}
 
     def _graph(self, shards: Sequence[int] | None = None) -> DataFrame:
