@@ -482,7 +482,20 @@ def q_latency(s: SparkSession, d: str) -> DataFrame:
 # The text pipeline
 
 
-@query("chunk_documents")
+_CHUNKS = """WITH RECURSIVE p AS (SELECT doc_id, unnest(ps) AS raw, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[\\s\\p{Z}]*\\n') AS ps FROM documents WHERE text IS NOT NULL) x),
+w AS (SELECT doc_id, i, 0 AS k, trim(regexp_replace(raw, '[\\s\\p{Z}]+', ' ', 'g')) AS rest, '' AS line FROM p
+  UNION ALL SELECT doc_id, i, k + 1, CASE WHEN length(rest) > 1200 THEN trim(substring(rest, cut_at + 1)) ELSE '' END, CASE WHEN length(rest) > 1200 THEN trim(substring(rest, 1, cut_at)) ELSE rest END
+  FROM (SELECT *, CASE WHEN back > 0 AND 1201 - back >= 600 THEN 1201 - back ELSE 1200 END AS cut_at FROM (SELECT *, position(' ' IN reverse(substring(rest, 1, 1201))) AS back FROM w) y) z WHERE rest <> ''),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS j FROM w WHERE line <> ''),
+g AS (SELECT doc_id, j, 0 AS c, 1200 - length(line) AS room FROM l WHERE j = 1
+  UNION ALL SELECT l.doc_id, l.j, CASE WHEN length(line) + 2 <= room THEN c ELSE c + 1 END, CASE WHEN length(line) + 2 <= room THEN room - length(line) - 2 ELSE 1200 - length(line) END FROM g JOIN l ON l.doc_id = g.doc_id AND l.j = g.j + 1),
+b AS (SELECT doc_id, c, string_agg(line, chr(10) || chr(10) ORDER BY j) AS body, max(c) OVER (PARTITION BY doc_id) AS top FROM g JOIN l USING (doc_id, j) GROUP BY doc_id, c),
+m AS (SELECT doc_id, CASE WHEN c = top AND c > 0 AND length(body) < 200 THEN c - 1 ELSE c END AS c2, c, body FROM b),
+f AS (SELECT doc_id, c2, string_agg(body, chr(10) || chr(10) ORDER BY c) AS content FROM m GROUP BY 1, 2)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY c2) - 1)::INTEGER AS chunk_index, content FROM f WHERE length(content) >= 20"""
+
+
+@query("chunk_documents", _CHUNKS)
 def q_chunks(s: SparkSession, d: str) -> DataFrame:
     return text.chunk(spread(t(s, d, "documents").select("doc_id", "text")))
 
