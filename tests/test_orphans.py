@@ -46,15 +46,14 @@ def test_edges(spark, children, parents):
     check(spark, children, parents)
 
 
-def test_filter_never_denies_a_member():
-    keys = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 5000)
-    bits = np.zeros(orphans.filter_bits(len(keys)), bool)
-    for at in orphans.positions(keys, len(bits)):
-        bits[at] = True
-    packed = np.packbits(bits)
+@pytest.mark.parametrize("n", [1, 5000, 40_000])
+def test_filter_never_denies_a_member(spark, n):
+    keys = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, n)
+    df = spark.createDataFrame([(int(k),) for k in keys] + [(None,)] + [(int(keys[0]),)] * 500, "id long")
+    packed = orphans.bloom(df, "id", orphans.filter_bits(n))
     assert orphans.might_contain(keys, packed).all()
-    assert orphans.might_contain(np.arange(20_000) + (1 << 40), packed).mean() < 0.05
-    assert orphans.filter_bits(10**12) == orphans.MAX_FILTER_BITS
+    assert orphans.might_contain(np.arange(20_000) + (1 << 40), packed).mean() < 0.03
+    assert orphans.filter_bits(10**12) == orphans.MAX_FILTER_BITS and not orphans.might_contain(keys, orphans.bloom(df.where("false"), "id", 1 << 13)).any()
 
 
 def test_components(spark):

@@ -16,7 +16,6 @@ table makes every key missing. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,9 +23,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: 8 MB of filter at most; with 10 bits a key that covers 6.7 million keys at 1 % false positives.
-MAX_FILTER_BITS = 1 << 26
+#: 64 MB of filter at most, and only for as many keys; with 10 bits a key that covers 53 million keys at 1 % false positives.
+MAX_FILTER_BITS = 1 << 29
 BITS_PER_KEY = 10
+#: All bits of a key lie in one block of so many.
+BLOCK_BITS = 1 << 16
 HASHES = 6
 
 
@@ -59,11 +60,17 @@ def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def block_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The block of the filter that holds all bits of a key."""
+    return (_mix(keys, 2) & np.uint64(max(bits // BLOCK_BITS, 1) - 1)).astype(np.int64)
+
+
 def positions(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Bit positions of each key, by double hashing; ``bits`` is a power of two."""
+    """Bit positions of each key within its block, by double hashing; ``bits`` is a power of two."""
     a, b = _mix(keys, 0), _mix(keys, 1) | np.uint64(1)
+    inside = np.uint64(min(bits, BLOCK_BITS) - 1)
     with np.errstate(over="ignore"):
-        return [((a + np.uint64(i) * b) & np.uint64(bits - 1)).astype(np.int64) for i in range(HASHES)]
+        return [((a + np.uint64(i) * b) & inside).astype(np.int64) for i in range(HASHES)]
 
 
 def filter_bits(keys: int) -> int:
@@ -72,41 +79,36 @@ def filter_bits(keys: int) -> int:
 
 
 def bloom(parents: DataFrame, key: str, bits: int) -> np.ndarray:
-    """The OR of the executors' partial filters, as packed bytes.
+    """The filter of a table's keys, as packed bytes.
 
-    Each task yields only the 8 KB blocks in which it set a bit; blocks are OR-ed in a
-    grouped aggregate, so the driver receives at most ``bits / 8`` bytes.
+    A key sets bits of one block only, so each distinct key is sent to its block once and a
+    block is made by one task; the driver receives the ``bits / 8`` bytes of the blocks.
     """
-    block = min(bits, 1 << 16)
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = None
-        for pdf in batches:
-            keys = pdf["key"].to_numpy(np.int64)
-            if own is None:
-                own = np.zeros(bits, dtype=bool)
-            for at in positions(keys, bits):
-                own[at] = True
-        if own is not None:
-            rows = own.reshape(-1, block)
-            used = np.flatnonzero(rows.any(axis=1))
-            yield pd.DataFrame({"block": used, "bits": [np.packbits(rows[i]).tobytes() for i in used]})
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        both = reduce(np.bitwise_or, (np.frombuffer(x, np.uint8) for x in pdf["bits"]))
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [both.tobytes()]})
-
-    parts = parents.select(F.col(key).cast("long").alias("key")).where("key is not null").mapInPandas(build, "block long, bits binary")
+    size = min(bits, BLOCK_BITS)
+
+    @F.pandas_udf("long")
+    def block(keys: pd.Series) -> pd.Series:
+        return pd.Series(block_of(keys.to_numpy(np.int64), bits))
+
+    def build(key_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(size, dtype=bool)
+        for at in positions(pdf["key"].to_numpy(np.int64), bits):
+            own[at] = True
+        return pd.DataFrame({"block": [key_[0]], "bits": [np.packbits(own).tobytes()]})
+
+    keys = parents.select(F.col(key).cast("long").alias("key")).where("key is not null").distinct()
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in parts.groupBy("block").applyInPandas(merge, "block long, bits binary").toLocalIterator():
-        out[row["block"] * block // 8 : (row["block"] + 1) * block // 8] = np.frombuffer(row["bits"], np.uint8)
+    for row in keys.withColumn("block", block("key")).groupBy("block").applyInPandas(build, "block long, bits binary").toLocalIterator():
+        out[row["block"] * size // 8 : (row["block"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 
 def might_contain(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """False only for keys that are certainly absent."""
-    found = np.ones(len(keys), dtype=bool)
-    for at in positions(keys, len(packed) * 8):
+    found, bits = np.ones(len(keys), dtype=bool), len(packed) * 8
+    start = block_of(keys, bits) * min(bits, BLOCK_BITS)
+    for at in positions(keys, bits):
+        at += start
         found &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
     return found
 

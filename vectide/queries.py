@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .config import VecConfig
+from .config import METRICS, VecConfig
 from .functions import native
 from .functions.parse import format_vec
 from .functions.register import register, scalar_udfs
@@ -20,6 +21,7 @@ from .operators import hnsw, knn as K, metrics, orphans, text
 from .operators.components import components
 from .plans import planner
 from .session import cut, shared_dir, spread, table as t
+from .sources.pages import append_csv, read_pages, write_json
 from .sources.table import VectorTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -603,11 +605,11 @@ def _built(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, VecConfig]:
     return rows, cut(hnsw.build(rows, config, hnsw.shard_count(rows.count(), s.sparkContext.defaultParallelism))), config
 
 
-def _searched(rows: DataFrame, built: DataFrame, config: VecConfig) -> DataFrame:
-    """The 10 nearest found for every rowid that 20 divides, asked block by block."""
+def _searched(rows: DataFrame, built: DataFrame, config: VecConfig, residue: int = 0, ef: int | None = None, metric: str | None = None) -> DataFrame:
+    """The 10 nearest found for every rowid that leaves ``residue`` divided by 20, asked block by block."""
     found = None
-    for ids, x in K.query_blocks(rows.where("rowid % 20 = 0"), "rowid", "vector"):
-        part = hnsw.search(built, list(zip(ids.tolist(), x, strict=True)), 10, config)
+    for ids, x in K.query_blocks(rows.where(F.col("rowid") % 20 == residue), "rowid", "vector"):
+        part = hnsw.search(built, list(zip(ids.tolist(), x, strict=True)), 10, config, ef, metric)
         found = part if found is None else found.unionByName(part)
     return hnsw.search(built, [], 10, config) if found is None else found
 
@@ -633,6 +635,89 @@ def q_hnsw_integrity(s: SparkSession, d: str) -> DataFrame:
     return metrics.integrity(rows, hnsw.edges(built), hnsw.layers(built), config.m)
 
 
+_ALL10 = """SELECT qid, rowid, round(x, 6) AS distance, k::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(x, 9), rowid) AS k FROM
+(SELECT b.rowid AS qid, a.rowid, {distance} AS x FROM {rows} a, {rows} b WHERE b.rowid % 20 = 1 AND {which}) p) r WHERE k <= 10"""
+
+
+def _widely(s: SparkSession, rows: DataFrame, built: DataFrame, config: VecConfig, metric: str | None = None) -> DataFrame:
+    """The graph's 10 nearest of every rowid that leaves 1 divided by 20, with a beam as wide as the table."""
+    found = _searched(rows, built, config, 1, rows.count(), metric)
+    return found.selectExpr("qid", "rowid", "round(distance, 6) distance", "cast(row_number() over (partition by qid order by round(distance, 9), rowid) as int) rank")
+
+
+@query("graph_metric_override", _ALL10.format(distance=_sql_distance("cosine", "a.v", "b.v"), rows=_E, which="true"))
+def q_override(s: SparkSession, d: str) -> DataFrame:
+    """The graph of one metric walked by another."""
+    rows, built, config = _built(s, d)
+    return _widely(s, rows, built, config, "cosine")
+
+
+@query("graph_after_deletes", _ALL10.format(distance=_sql_distance("l2", "a.v", "b.v"), rows=_E, which="a.rowid % 5 <> 0"))
+def q_repaired(s: SparkSession, d: str) -> DataFrame:
+    """The graph after a fifth of its nodes has gone and their neighbours were joined anew."""
+    rows, built, config = _built(s, d)
+    shards = hnsw.shard_count(rows.count(), s.sparkContext.defaultParallelism)
+    return _widely(s, rows, cut(hnsw.refresh(rows.where("rowid % 5 <> 0"), built, config, shards)), config)
+
+
+_ALIASES = {**{m: _sql_distance(METRICS[m]) for m in METRICS if METRICS[m] in _D}, **{m: _FLOAT_BITS[m].replace("embedding", "e") for m in _FLOAT_BITS}}
+
+
+@query(
+    "metric_aliases",
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, round({sql}, 6) AS distance FROM (SELECT embedding AS e, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1) a, (SELECT embedding{'' if m in _FLOAT_BITS else '::DOUBLE[]'} AS q FROM embeddings WHERE vec_id = 0) b" for m, sql in _ALIASES.items()),
+)
+def q_aliases(s: SparkSession, d: str) -> DataFrame:
+    one, q = rows_of(s, d).where("rowid = 1"), first_vector(s, d)
+    parts = [K.within(one, q, float("inf"), m).select(F.lit(m).alias("metric"), F.round("distance", 6).alias("distance")) for m in METRICS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "table_lifecycle",
+    """SELECT 'data' AS part, count(*)::VARCHAR AS value FROM embeddings UNION ALL SELECT 'layers', count(*)::VARCHAR FROM embeddings UNION ALL SELECT 'count', count(*)::VARCHAR FROM embeddings
+UNION ALL SELECT 'least_edge_end', min(vec_id)::VARCHAR FROM embeddings UNION ALL SELECT * FROM (VALUES ('dims', '64'), ('metric', 'l2'), ('type', 'float32'), ('m', '16'), ('old name', 'gone'), ('dropped', 'gone')) v""",
+)
+def q_lifecycle(s: SparkSession, d: str) -> DataFrame:
+    """A table made, filled, renamed and looked at through its views; another one dropped."""
+    base = scratch(s)
+    made = VectorTable.create(s, f"{base}/a", config=VecConfig(64, "l2", ef_construction=60))
+    made.insert(rows_of(s, d).select("rowid", "vector"))
+    table = made.rename("b")
+    table.views("vectide_life")
+    other = VectorTable.create(s, f"{base}/c", config=VecConfig(64))
+    other.drop()
+    state = [(n, "there" if p.exists() else "gone") for n, p in (("old name", made.path), ("dropped", other.path))]
+    counts = s.sql(
+        "SELECT 'data' AS part, cast(count(*) AS string) AS value FROM vectide_life_data UNION ALL SELECT 'layers', cast(count(*) AS string) FROM vectide_life_layers "
+        "UNION ALL SELECT 'least_edge_end', cast(min(least(node_id, neighbor_id)) AS string) FROM vectide_life_graph UNION ALL SELECT key, value FROM vectide_life_config WHERE key IN ('dims', 'metric', 'type', 'm', 'count')"
+    )
+    return counts.unionByName(s.createDataFrame(state, "part string, value string"))
+
+
+@query("xml_pages", "SELECT DISTINCT id AS page_id, trim(title) AS title, 'Text of ' || id AS body FROM wiki_articles WHERE trim(title) <> '' AND id % 7 <> 0 AND id % 5 <> 0")
+def q_pages(s: SparkSession, d: str) -> DataFrame:
+    """Articles written as a compressed dump with redirects and other namespaces, and read again."""
+    where = f"{scratch(s)}/dump"
+    ns, moved = F.when(F.col("id") % 5 == 0, "1").otherwise("0"), F.when(F.col("id") % 7 == 0, F.struct(F.col("title").alias("_title")))
+    pages = t(s, d, "wiki_articles").where("trim(title) <> ''").select("id", "title").distinct()
+    out = pages.select("title", ns.alias("ns"), "id", moved.alias("redirect"), F.struct(F.concat(F.lit("Text of "), "id").alias("text")).alias("revision"))
+    out.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").option("compression", "bzip2").save(where)
+    return read_pages(s, where).select("page_id", F.trim("title").alias("title"), F.col("text").alias("body"))
+
+
+@query("result_sinks", f"SELECT 'csv' AS sink, 2 * count(*) AS n, round(2 * sum(round(x, 6)), 4) AS total FROM {_NEAR} n UNION ALL SELECT 'json', count(*), round(sum(round(x, 6)), 4) FROM {_NEAR} n")
+def q_sinks(s: SparkSession, d: str) -> DataFrame:
+    """Results appended to CSV twice and written as JSON twice, read again."""
+    base, near = scratch(s), K.knn(rows_of(s, d), first_vector(s, d), 20).select("rowid", F.round("distance", 6).alias("distance"))
+    for _ in range(2):
+        append_csv(near, f"{base}/csv")
+        write_json(near, f"{base}/json")
+    csv = s.read.option("header", True).schema("rowid long, distance double").csv(f"{base}/csv")
+    both = csv.withColumn("sink", F.lit("csv")).unionByName(s.read.schema("rowid long, distance double").json(f"{base}/json").withColumn("sink", F.lit("json")))
+    return both.groupBy("sink").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 4).alias("total"))
+
+
 @query("create_as_select", f"SELECT rowid, label, round(x, 6) AS distance FROM {_NEAR} n")
 def q_ctas(s: SparkSession, d: str) -> DataFrame:
     where = f"{scratch(s)}/near"
