@@ -1,6 +1,6 @@
 """References to records that do not exist, were deleted, or arrive later (problem 3).
 
-A Bloom filter over the parent keys is built by the executors and OR-ed together, then
+A Bloom filter over the parent keys is built block by block on the executors, then
 broadcast. A key it does not hold is *proved* missing and never shuffled to the parents;
 only filter-positive keys meet the exact join. Before either step the references are
 collapsed to distinct (field, key, month) rows with their earliest load time, by a map-side
