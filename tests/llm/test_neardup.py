@@ -74,7 +74,7 @@ def test_a_large_class_keeps_links_between_different_texts(spark, monkeypatch):
 def test_prefixes_are_shortened_until_the_target():
     assert N.prefix_length(0.8, {}) == N.DEPTH and N.prefix_length(0.5, {}) == 3
     assert N.prefix_length(0.5, {8: 50}) == 4  # pairs that meet early outweigh what theory fears
-    assert N.prefix_length(0.5, {8: 4000}) > 4
+    assert N.prefix_length(0.5, {8: 4000}) > 4 and N.deepest(0.5) == 6 and N.deepest(0.8) == 8 and N.deepest(0.01) == 1
     assert N.prefix_length(0.5, {8: 500, 3: 20}) == 3 and N.prefix_length(0.5, {8: 500, 0: 20}) == 1
 
 
@@ -86,6 +86,8 @@ def test_labels_are_tries():
     for depth in (1, 2):
         agree = ((x ^ y).view(np.uint64) >> np.uint64(N.below(depth)) == 0).mean()
         assert abs(agree - want**depth) < 0.05
+    short = N.labels([a, b], 2000, 3)
+    assert (short >> N.below(3) == N.labels([a, b], 2000) >> N.below(3)).all() and not (short & ((1 << N.below(3)) - 1)).any()
     assert sum(N.BITS) == 64 and len(N.BITS) == N.DEPTH and N.level(x, x) == N.DEPTH
 
 
@@ -94,7 +96,7 @@ def test_probes_find_all_similar_texts():
     sets = [s for s in shingle_sets([words(t) for t in corpus(4)], 3, h) if len(s)]
     probes = N.Probes(sets[:30], 0.5)
     keys = N.set_keys(sets)
-    got = [len(x) for x in probes.levels(sets, keys, N.labels(sets))]
+    got = [len(x) for x in probes.levels(sets, keys, N.labels(sets, depth=N.deepest(0.5)))]
     alike = [[keys[i] != keys[j] and len(np.intersect1d(x, y)) >= 0.5 * len(np.union1d(x, y)) for j, y in enumerate(sets[:30])] for i, x in enumerate(sets)]
     assert got == [sum(a) for a in alike] and N.Probes([], 0.5).levels(sets, keys, N.labels(sets)) == [[]] * len(sets)
 

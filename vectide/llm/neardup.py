@@ -5,7 +5,7 @@ of ``DEPTH`` min-hashes, packed into one 64-bit label of which each further min-
 few lower bits: sorted labels are the trie, and a prefix is shortened by dropping low bits.
 
 Two texts meet in a trie whose labels share a prefix. Matched prefixes are shortened from
-``DEPTH`` min-hashes on, level by level, until the recall reaches ``TARGET``. The recall of a
+``DEPTH`` min-hashes (or the ``deepest`` worth a try) on, level by level, until the recall reaches ``TARGET``. The recall of a
 level is measured: for ``PROBES`` sample texts all texts at or above the threshold are found
 exactly while the labels are made, with the level at which they meet; the share that theory
 gives for a pair right at the threshold counts as ``PRIOR`` further pairs. Each meeting is
@@ -53,9 +53,14 @@ def recall(similarity: float, trees: int, depth: int) -> float:
     return 1.0 - (1.0 - similarity**depth) ** trees
 
 
+def deepest(threshold: float, trees: int = TREES) -> int:
+    """The longest prefix worth a try: beyond it theory lets more than half of the pairs at the threshold go."""
+    return max(d for d in range(1, DEPTH + 1) if d == 1 or recall(threshold, trees, d) >= 0.5)
+
+
 def prefix_length(threshold: float, met: dict[int, int], trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
     """The longest prefix that reaches the target; ``met`` counts the probes' true pairs by the level at which they meet (0 for none)."""
-    total = sum(met.values())
+    total, depth = sum(met.values()), min(depth, deepest(threshold, trees))
     while depth > 1:
         reached = sum(n for level, n in met.items() if level >= depth)
         if (reached + PRIOR * recall(threshold, trees, depth)) / (total + PRIOR) >= target:
@@ -74,14 +79,13 @@ def _family(count: int) -> np.ndarray:
     return np.random.default_rng(20240607).integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def labels(sets: list[np.ndarray], trees: int = TREES) -> np.ndarray:
-    """The label of each set in each trie. A level's bits hash the trie and all min-hashes down to it.
+def labels(sets: list[np.ndarray], trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
+    """The label of each set in each trie. A level's bits hash the trie and all min-hashes down to it; levels beyond ``depth`` are zero.
 
     A min-hash is the least of ``low * a + high`` (mod 2**32) over the halves of the shingle
     hashes, which single-word arithmetic computes many at a time.
     """
-    depth = DEPTH
-    a = _family(trees * depth)
+    a = np.ascontiguousarray(_family(trees * DEPTH).reshape(trees, DEPTH)[:, :depth]).ravel()
     low = np.full((len(sets), trees * depth), np.iinfo(np.uint32).max, np.uint32)
     room = np.empty((128, trees * depth), np.uint32)
     with np.errstate(over="ignore"):
@@ -95,9 +99,10 @@ def labels(sets: list[np.ndarray], trees: int = TREES) -> np.ndarray:
         grid = low.reshape(len(sets), trees, depth).astype(np.uint64)
         key = np.broadcast_to(np.arange(trees, dtype=np.uint64), (len(sets), trees))
         out = np.zeros((len(sets), trees), np.uint64)
-        for k, bits in enumerate(BITS):
+        for k, bits in enumerate(BITS[:depth]):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, :, k])
             out = (out << np.uint64(bits)) | (key >> np.uint64(64 - bits))
+        out <<= np.uint64(sum(BITS[depth:]))
     return out.view(np.int64)
 
 
@@ -111,7 +116,7 @@ class Probes:
     """Sample texts as an inverted index of their shingles, to find all texts at or above the threshold."""
 
     def __init__(self, sets: list[np.ndarray], threshold: float) -> None:
-        self.threshold, self.sizes, self.keys, self.labels = threshold, np.array([len(s) for s in sets], np.int64), set_keys(sets), labels(sets)
+        self.threshold, self.sizes, self.keys, self.labels = threshold, np.array([len(s) for s in sets], np.int64), set_keys(sets), labels(sets, depth=deepest(threshold))
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         order = flat.argsort(kind="stable")
         self.shingles, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
@@ -154,6 +159,7 @@ def forest(texts: DataFrame, size: int, threshold: float) -> DataFrame:
     chosen = texts.orderBy(F.xxhash64("id"), "id").limit(PROBES).select("text").toPandas()  # bounded by PROBES
     hasher = Hasher()
     seeds = [s for s in shingle_sets([words(t) for t in chosen["text"]], size, hasher) if len(s)]
+    depth = deepest(threshold)
     shared = texts.sparkSession.sparkContext.broadcast(Probes(list({k: s for k, s in zip(set_keys(seeds), seeds, strict=True)}.values()), threshold))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,7 +176,7 @@ def forest(texts: DataFrame, size: int, threshold: float) -> DataFrame:
                 first = {x: k for k, x in reversed(list(enumerate(keys))) if x not in seen}
                 seen.update(first)
                 own = [sets[k] for k in first.values()]
-                made = labels(own)
+                made = labels(own, depth=depth)
                 met = probes.levels(own, list(first), made)
                 place = {k: j for j, k in enumerate(first.values())}
                 at_first = [place.get(k) for k in range(len(keys))]
