@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import components
@@ -162,14 +163,21 @@ def forest(texts: DataFrame, size: int, threshold: float) -> DataFrame:
     depth = deepest(threshold)
     shared = texts.sparkSession.sparkContext.broadcast(Probes(list({k: s for k, s in zip(set_keys(seeds), seeds, strict=True)}.values()), threshold))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lists(rows: list, kind: pa.DataType) -> pa.Array:
+        """A list column; None is null."""
+        offsets = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in rows])]).astype(np.int32)
+        some = [np.asarray(r) for r in rows if r is not None and len(r)]
+        values = pa.array(np.concatenate(some) if some else np.zeros(0, np.int64), kind)
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([r is None for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen, probes = Hasher(), set(), shared.value
         for whole in batches:
-            for at in range(0, len(whole), 512):
-                pdf = whole.iloc[at : at + 512]
-                sets = shingle_sets([words(t) for t in pdf["text"]], size, hasher)
-                pdf = pdf[[len(s) > 0 for s in sets]]
-                sets = [s for s in sets if len(s)]
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                sets = shingle_sets([words(t) for t in batch.column(2).to_pylist()], size, hasher)
+                kept = np.flatnonzero([len(s) > 0 for s in sets])
+                sets = [sets[k] for k in kept]
                 if not sets:
                     continue
                 keys = set_keys(sets)
@@ -180,14 +188,16 @@ def forest(texts: DataFrame, size: int, threshold: float) -> DataFrame:
                 met = probes.levels(own, list(first), made)
                 place = {k: j for j, k in enumerate(first.values())}
                 at_first = [place.get(k) for k in range(len(keys))]
-                yield pd.DataFrame(
-                    {
-                        "id": pdf["id"], "set_key": keys, "text_key": pdf["text_key"],
-                        "keys": [None if j is None else made[j] for j in at_first], "met": [None if j is None else met[j] for j in at_first],
-                    }
+                ids = batch.take(pa.array(kept))
+                yield pa.record_batch(
+                    [
+                        ids.column(0), pa.array(keys, pa.int64()), ids.column(1),
+                        lists([None if j is None else made[j] for j in at_first], pa.int64()), lists([None if j is None else met[j] for j in at_first], pa.int32()),
+                    ],
+                    names=["id", "set_key", "text_key", "keys", "met"],
                 )
 
-    return texts.select("id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, "id long, set_key long, text_key long, keys array<long>, met array<int>")
+    return texts.select("id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "id long, set_key long, text_key long, keys array<long>, met array<int>")
 
 
 def _both(x: np.ndarray, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
