@@ -1,7 +1,10 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from vectide.llm import clustering, imi
 from vectide.llm.vectors import usable
+from vectide.session import shared_dir
 
 SCHEMA = "rowid long, vector array<float>, embedded_at string, cell int, x string"
 
@@ -187,3 +190,22 @@ def test_one_link_joins_two_large_groups(spark, monkeypatch):
     assert {r[:] for r in clustering.found(df).select("rowid", "cluster_key").collect()} == {(i, 0) for i in range(1202)}
     alone = table(spark, [(i, v.tolist()) for i, v in enumerate(x[:-1])])
     assert clustering.found(alone).select("cluster_key").distinct().count() == 2
+
+
+def written(spark):
+    """Bytes that this session has shuffled or left in the shared folder so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    shuffled = spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    return shuffled + sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("part-*"))
+
+
+@pytest.mark.parametrize("query", ["found", "clusters"])
+def test_vectors_are_not_copied_to_be_compared(spark, monkeypatch, query):
+    x = groups(9, [40] * 50, alone=1000)
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    whole = {r[:2] for r in getattr(clustering, query)(df).collect()}
+    monkeypatch.setattr(clustering, "BATCH", 64)
+    monkeypatch.setattr(clustering, "BLOCK", 128)  # 24 slices, which were as many copies of each vector
+    before = written(spark)
+    assert {r[:2] for r in getattr(clustering, query)(df).collect()} == whole
+    assert written(spark) - before < 12 * x.nbytes

@@ -10,12 +10,17 @@ DIMS = 64
 KEPT = 6
 
 
-def usable(df: DataFrame, dims: int = DIMS, key: str = "rowid", vector: str = "vector") -> DataFrame:
-    """(rowid, vector) once an id, of vectors with ``dims`` finite elements that aren't all zero."""
+def valid(df: DataFrame, dims: int = DIMS, key: str = "rowid", vector: str = "vector") -> DataFrame:
+    """(rowid, vector) of every row whose vector has ``dims`` finite elements that aren't all zero."""
     v = F.col(vector).cast("array<float>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.where(F.col(key).isNotNull() & (F.size(vector) == dims)).where(finite & F.exists(v, lambda x: x != 0))
-    return rows.select(F.col(key).cast("long").alias("rowid"), v.alias("vector")).dropDuplicates(["rowid"])
+    return rows.select(F.col(key).cast("long").alias("rowid"), v.alias("vector"))
+
+
+def usable(df: DataFrame, dims: int = DIMS, key: str = "rowid", vector: str = "vector") -> DataFrame:
+    """(rowid, vector) once an id, of the valid rows."""
+    return valid(df, dims, key, vector).dropDuplicates(["rowid"])
 
 
 def distinct_vectors(rows: DataFrame, kept: int = KEPT, salts: int = 16) -> DataFrame:
